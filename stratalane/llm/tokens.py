@@ -36,10 +36,17 @@ class WordEncoder:
         self.pool, self.used = np.empty(1 << 16, dtype=np.int32), 0
         self.starts, self.lengths = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64)
 
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _split(self, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        distinct, codes, offsets = words_of(text)
+        return distinct.to_pylist(), codes, offsets
+
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            found = self._ids(part)
             lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(lengths.sum()))
             known, need = len(self.slots), self.used + len(flat)
@@ -55,8 +62,7 @@ class WordEncoder:
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text begins in them (one more at the end)."""
-        distinct, codes, offsets = words_of(text)
-        words = distinct.to_pylist()
+        words, codes, offsets = self._split(text)
         slots = np.fromiter((self.slots.get(w, -1) for w in words), dtype=np.int64, count=len(words))
         if (slots < 0).any():
             new = [w for w, s in zip(words, slots) if s < 0]
