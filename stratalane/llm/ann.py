@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalane.llm.common import written
+from stratalane.llm.common import shipped, written
 
 TOP = 20
 FIT_ROWS = 40_000
@@ -131,11 +131,11 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, recall: float = RECALL
     share = lambda k: place < int(min(1.0, k / n) * (1 << 30)) + (k >= n)
     sample = np.array([r.embedding for r in entries.where(share(FIT_ROWS)).limit(2 * FIT_ROWS).select("embedding").toLocalIterator()], dtype=np.float64).reshape(-1, width)
     tree = Tree(sample, LEAF_ROWS * len(sample) / n)
-    shipped = spark.sparkContext.broadcast(tree)
+    planted = shipped(spark, "tree", tree)
 
     def file(batches):
         for batch in batches:
-            leaf = shipped.value.leaf_of(_matrix(batch.column("embedding"), width))
+            leaf = planted().leaf_of(_matrix(batch.column("embedding"), width))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", *batch.schema.names])
 
     filed = written(entries.mapInArrow(file, "leaf long, embedding array<float>, ids array<bigint>"), "filed")
@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, recall: float = RECALL
         for batch in batches:
             at, leaves, parts = [], [], []
             for i, q in enumerate(_matrix(batch.column("embedding"), width)):
-                for leaf in shipped.value.best_first(q, visits):
+                for leaf in planted().best_first(q, visits):
                     for part in range(chunks.get(leaf, 0)):
                         at.append(i)
                         leaves.append(leaf)

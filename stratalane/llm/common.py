@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 WS = r"[\x20\x09-\x0D]+"
@@ -36,12 +37,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_state(name: str, make):
-    """A value kept by one Python worker from task to task; make() builds it once."""
+def worker_state(name: str, make, key: str = ""):
+    """A value kept by one Python worker from task to task; make() builds it once for a name, anew for another key."""
     home = sys.modules.setdefault("_stratalane_state", types.ModuleType("_stratalane_state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, name, (None,))[0] != key:
+        setattr(home, name, (key, make()))
+    return getattr(home, name)[1]
+
+
+def shipped(spark: SparkSession, name: str, value):
+    """A function that gives value on any worker. Its classes go along, so workers need no copy of this package."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: worker_state(name, lambda: cloudpickle.loads(sent.value), key)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,6 @@ table gives an empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalane.llm.common import text_slices, totals, words_of, worker_state
+from stratalane.llm.common import shipped, text_slices, totals, words_of
 
 ORDER = 5
 TRAIN_ROWS = 400
@@ -259,11 +258,11 @@ def fitted(docs: DataFrame, usable: Column | None = None) -> Identifier:
 
 def identified(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) of every whole text."""
-    shipped, key = docs.sparkSession.sparkContext.broadcast(identifier), f"langid:{uuid.uuid4().hex}"
+    scores = shipped(docs.sparkSession, "langid", WordScores(identifier))
 
     def run(batches):
-        model = shipped.value
-        kept = worker_state(key, lambda: WordScores(model))
+        kept = scores()
+        model = kept.identifier
         for batch in batches:
             for part in text_slices(batch, "text"):
                 lang, score, nats, rejected = model.predict(part.column("text"), kept)
@@ -286,16 +285,18 @@ def predictions(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with all their columns; the text decides, so any copy is treated alike."""
     identifier = fitted(docs, remainder() != 2)
-    shipped, key = docs.sparkSession.sparkContext.broadcast(identifier), f"langid:{uuid.uuid4().hex}"
+    scores = shipped(docs.sparkSession, "langid", WordScores(identifier))
 
     def run(batches):
-        model = shipped.value
-        kept = worker_state(key, lambda: WordScores(model))
+        kept = scores()
+        model = kept.identifier
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for part in text_slices(batch, "text"):
-                rejected = model.predict(part.column("text"), kept)[3]
-                part = part.set_column(at, batch.schema.field(at), part.column("text").cast(batch.schema.field(at).type))
+            for part in text_slices(batch, name):
+                rejected = model.predict(part.column(name), kept)[3]
+                part = part.set_column(at, batch.schema.field(at), part.column(name).cast(batch.schema.field(at).type))
                 yield part.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns go by their places, as their names may hold dots.
+    at = docs.columns.index("text")
+    name, placed = f"c{at}", docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

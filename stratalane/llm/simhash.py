@@ -49,14 +49,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.array([xxh64_intdigest(x, 42) for x in parts], dtype="<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    if len(ones) > 255:
-        whole = len(ones) // 255 * 255
-        counts = ones[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + ones[whole:].sum(axis=0, dtype=np.int64)
-    else:
-        counts = ones.sum(axis=0, dtype=np.uint8).astype(np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(ones), bitorder="little").tobytes(), "little")
+    hashes = np.fromiter((xxh64_intdigest(x, 42) for x in parts), dtype="<u8")
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 255 * 256):
+        ones = np.unpackbits(hashes[at : at + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(ones) // 255 * 255  # sums of 255 ones fit a byte
+        counts += ones[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + ones[whole:].sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -189,12 +188,15 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the least doc_id; of rows that share even that, one (any of equal rows)."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    several = kept.groupBy("doc_id").count()
-    again = several.where("count > 1").select("doc_id")
+    """One document of each class, that of the least doc_id; of rows that share even that, one (any of equal texts).
 
-    once = docs.join(several.where("count = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    Documents without a doc_id can't be named as copies of any other, and stay.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.where("doc_id IS NOT NULL")
+    kept = written(near_duplicates(named).where("doc_id = component_id").groupBy("doc_id").count(), "kept")
+    once = named.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi").select(own)
+    rank = next(n for n in map("__rank{}".format, range(len(own) + 1)) if n not in docs.columns)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    tied = docs.join(again, "doc_id", "left_semi").withColumn("__rank", order).where("__rank = 1").select(docs.columns)
-    return once.unionByName(tied)
+    tied = named.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi").withColumn(rank, order).where(F.col(rank) == 1).select(own)
+    return once.unionByName(tied).unionByName(docs.where("doc_id IS NULL"))
