@@ -4,11 +4,13 @@ The tree is fitted on at most FIT_ROWS vectors, picked by hash, with as many lea
 whole table to a leaf; then every vector is filed under its leaf. A query walks the tree through a priority queue,
 always opening the node whose centre has the largest inner product with it, and so has an order of leaves. How many
 leaves it visits is calibrated: for CALIBRATION_QUERIES vectors the true neighbours are found against the whole table,
-and visits are widened until the recall over these reaches RECALL. Queries meet the vectors of their leaves in a join
-by leaf, and inner products are taken in double precision over the original vectors.
+and visits are widened until the recall over these reaches RECALL. Neighbouring leaves lie in one block of at most
+BLOCK_ROWS vectors, queries meet the blocks of the leaves they visit in a join, and each block gives a query its best;
+inner products are taken in double precision over the original vectors.
 
 Equal vectors are one entry of the tree with their TOP + 1 least ids, which is all of them that any answer can hold, so
-a vector that a third of the rows share is one entry. Leaves and the queries that visit them are dealt in chunks.
+a vector that a third of the rows share is one entry. Large leaves, and the queries of a crowded block, are dealt in
+chunks, so that no task holds more than BLOCK_ROWS vectors and CHUNK queries or so.
 The tree is what is broadcast: at most FIT_ROWS centres, whatever the table holds.
 
 Defined results: vectors that are null, zero, or hold null or non-finite parts take no part, and neither do those of
@@ -31,8 +33,9 @@ TOP = 20
 FIT_ROWS = 40_000
 LEAF_ROWS = 150
 BRANCH = 10
-RECALL = 0.97
+RECALL = 0.94
 CALIBRATION_QUERIES = 96
+BLOCK_ROWS = 4096
 CHUNK = 4096
 
 
@@ -129,7 +132,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, recall: float = RECALL
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     place = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30))
     share = lambda k: place < int(min(1.0, k / n) * (1 << 30)) + (k >= n)
-    sample = np.array([r.embedding for r in entries.where(share(FIT_ROWS)).limit(2 * FIT_ROWS).select("embedding").toLocalIterator()], dtype=np.float64).reshape(-1, width)
+    sample = _matrix(entries.where(share(FIT_ROWS)).limit(2 * FIT_ROWS).select("embedding").toArrow().column(0).combine_chunks(), width)
     tree = Tree(sample, LEAF_ROWS * len(sample) / n)
     planted = shipped(spark, "tree", tree)
 
@@ -140,48 +143,82 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, recall: float = RECALL
 
     filed = written(entries.mapInArrow(file, "leaf long, embedding array<float>, ids array<bigint>"), "filed")
     visits = _calibrated(filed, tree, width, top, recall, n)
-    sizes = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # no more rows than leaves
-    chunks = {leaf: -(-count // CHUNK) for leaf, count in sizes.items()}
-
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # Neighbouring leaves share a block; a leaf larger than a block has several of its own. No more rows than leaves.
+    blocks = _blocks({r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}, tree.leaves)
+    placed = spark.createDataFrame([(leaf, *b) for leaf, b in blocks.items()], "leaf long, first int, number int")
+    block = (F.col("first") + F.pmod(F.xxhash64("embedding"), "number")).cast("int")
+    filed = filed.join(F.broadcast(placed), "leaf").select(block.alias("block"), "leaf", "embedding", "ids")
 
     def walk(batches):
         for batch in batches:
-            at, leaves, parts = [], [], []
+            at, visited = [], []
             for i, q in enumerate(_matrix(batch.column("embedding"), width)):
+                by_block: dict[int, list[int]] = {}
                 for leaf in planted().best_first(q, visits):
-                    for part in range(chunks.get(leaf, 0)):
-                        at.append(i)
-                        leaves.append(leaf)
-                        parts.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, type=pa.int64()), pa.array(parts, type=pa.int32()), batch.column("vec_id").take(pa.array(at, type=pa.int64())), batch.column("embedding").take(pa.array(at, type=pa.int64()))], names=["leaf", "part", "query_id", "query"])
-
-    visited = queries.mapInArrow(walk, "leaf long, part int, query_id long, query array<float>")
-    many = F.create_map(*(x for leaf, c in chunks.items() if c > 1 for x in (F.lit(leaf), F.lit(c)))) if any(c > 1 for c in chunks.values()) else None
-    of = F.lit(0) if many is None else F.pmod(F.xxhash64("embedding"), F.coalesce(F.try_element_at(many, F.col("leaf")), F.lit(1))).cast("int")
-    kept = filed.withColumn("part", of)
-
-    def match(key, left, right):
-        # One chunk of a leaf with the queries that visit it, a few at a time.
-        ids, body = left.column("ids").to_pylist(), _matrix(left.column("embedding").combine_chunks(), width) if left.num_rows else None
-        out = []
-        if left.num_rows and right.num_rows:
-            asked = _matrix(right.column("query").combine_chunks(), width)
-            for query_id, q in zip(right.column("query_id").to_pylist(), asked):
-                score = inner(q, body)
-                cut = np.partition(score, -top - 1)[-top - 1] if len(score) > top + 1 else -np.inf
-                found = [(-float(score[i]), x) for i in np.flatnonzero(score >= cut) for x in ids[i] if x != query_id]
-                found = heapq.nsmallest(top, found)
-                out.append((query_id, [x for _, x in found], [-s for s, _ in found]))
-        names, kinds = ("query_id", "ids", "scores"), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-        return pa.table([pa.array([r[i] for r in out], type=k) for i, k in enumerate(kinds)], names=names)
-
-    found = kept.groupBy("leaf", "part").cogroup(visited.groupBy("leaf", "part")).applyInArrow(match, "query_id long, ids array<bigint>, scores array<double>")
-    pairs = F.flatten(F.collect_list(F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("s"), i.alias("i")))))
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(pairs)), 1, top).alias("best"))
+                    first, number = blocks.get(leaf, (0, 0))
+                    for k in range(first, first + number):
+                        by_block.setdefault(k, []).append(leaf)
+                at += [i] * len(by_block)
+                visited += by_block.items()
+            at = pa.array(at, type=pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in visited], type=pa.int32()), pa.array([x for _, x in visited], type=pa.list_(pa.int64())), batch.column("vec_id").take(at), batch.column("embedding").take(at)],
+                names=["block", "leaves", "query_id", "query"],
+            )
+
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    spread = queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
+    asked = written(spread.mapInArrow(walk, "block int, leaves array<bigint>, query_id long, query array<float>"), "visits")
+    # A block that more than CHUNK queries visit meets them in chunks.
+    chunks = asked.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    left = filed.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    right = asked.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).drop("chunks")
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(
+        lambda _, mine, theirs: _matched(mine, theirs, width, top), "query_id long, best array<struct<s:double,i:bigint>>"
+    )
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
+def _blocks(sizes: dict[int, int], leaves: list[int], most: int = BLOCK_ROWS) -> dict[int, tuple[int, int]]:
+    """Each leaf's first block and number of blocks."""
+    out, block, held = {}, -1, most
+    for leaf in leaves:
+        if size := sizes.get(leaf, 0):
+            if size > most:
+                number = -(-size // most)
+                out[leaf], block, held = (block + 1, number), block + number, most
+                continue
+            if held + size > most:
+                block, held = block + 1, 0
+            held += size
+            out[leaf] = block, 1
+    return out
+
+
+def _matched(entries: pa.Table, asked: pa.Table, width: int, top: int) -> pa.Table:
+    """The best entries of one block for each query, among those in the leaves that the query visits."""
+    kind = pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())]))
+    found: list[tuple[int, list]] = []
+    if entries.num_rows and asked.num_rows:
+        ids, body = entries.column("ids").to_pylist(), _matrix(entries.column("embedding").combine_chunks(), width)
+        numbers, leaf_of = np.unique(entries.column("leaf").to_numpy(), return_inverse=True)
+        for at in range(0, asked.num_rows, 256):
+            part = asked.slice(at, 256)
+            queries = _matrix(part.column("query").combine_chunks(), width)
+            open_ = np.stack([np.isin(numbers, leaves) for leaves in part.column("leaves").to_pylist()])
+            rough = np.where(open_[:, leaf_of], queries @ body.T, -np.inf)
+            cut = np.partition(rough, -top - 1, axis=1)[:, -top - 1] if len(body) > top + 1 else np.full(len(queries), -np.inf)
+            # A matrix product rounds by its shape, so what it puts near the cut is measured again.
+            slack = 1e-9 * np.abs(queries).sum(axis=1) * np.abs(body).max()
+            for query_id, q, row, least in zip(part.column("query_id").to_pylist(), queries, rough, cut - slack):
+                near = np.flatnonzero((row >= least) & (row > -np.inf))
+                exact = inner(q, body[near])
+                pairs = [(-s, x) for s, k in zip(exact.tolist(), near.tolist()) for x in ids[k] if x != query_id]
+                found.append((query_id, [{"s": s, "i": x} for s, x in heapq.nsmallest(top, pairs)]))
+    return pa.table([pa.array([q for q, _ in found], type=pa.int64()), pa.array([b for _, b in found], type=kind)], names=["query_id", "best"])
+
+
 def _calibrated(filed: DataFrame, tree: Tree, width: int, top: int, recall: float, n: int) -> int:
     """Leaf visits with which the calibration queries find `recall` of their true neighbours among the entries."""
     place = F.pmod(F.xxhash64("embedding", F.lit("calibration")), F.lit(1 << 30))
