@@ -1,7 +1,8 @@
 """Token ids as Arrow files of fixed-size lists, for zero-copy random access to equal-length sequences and their masks.
 
 A part of the corpus is one Arrow file whose every record batch holds `BATCH` sequences (the last one fewer) of two
-fixed-size-list columns: ids, and a mask that is 0 on the padding of the last sequence. Sequence k is row k % BATCH of
+fixed-size-list columns: ids (of 16 bits where the vocabulary allows) and a mask of bits, unset on the padding of the
+last sequence. Sequence k is row k % BATCH of
 batch k // BATCH, so a memory-mapped reader finds it without reading anything else. A second file lists the documents:
 where each begins among the part's ids and how many it has. Parts are written by the executors straight into the shared
 folder; a manifest written by Spark names the file of the attempt that won, so that retried or speculative tasks leave
@@ -40,20 +41,20 @@ def _fixed(flat: np.ndarray, length: int) -> pa.FixedSizeListArray:
 class SequenceWriter:
     """Writes a stream of ids as sequences of equal length; holds one record batch at a time."""
 
-    def __init__(self, sink, length: int = LENGTH, batch: int = BATCH):
-        self.length, self.batch, self.held, self.n = length, batch, [], 0
-        schema = pa.schema([pa.field("ids", pa.list_(pa.uint32(), length)), pa.field("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink, length: int = LENGTH, batch: int = BATCH, ids=np.uint32):
+        self.length, self.batch, self.held, self.n, self.ids = length, batch, [], 0, ids
+        schema = pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(ids), length)), pa.field("mask", pa.list_(pa.bool_(), length))])
         self.out, self.schema = pa.ipc.new_file(sink, schema), schema
 
     def write(self, ids: np.ndarray) -> None:
-        self.held.append(ids.astype(np.uint32))
+        self.held.append(ids.astype(self.ids))
         self.n += len(ids)
         size = self.length * self.batch
         if self.n >= size:
             flat = np.concatenate(self.held)
             whole = len(flat) // size * size
             for at in range(0, whole, size):
-                self._put(flat[at : at + size], np.ones(size, dtype=np.uint8))
+                self._put(flat[at : at + size], np.ones(size, dtype=bool))
             self.held, self.n = [flat[whole:]], len(flat) - whole
 
     def _put(self, flat: np.ndarray, mask: np.ndarray) -> None:
@@ -62,7 +63,7 @@ class SequenceWriter:
     def close(self) -> None:
         if self.n:
             pad = -self.n % self.length
-            self._put(np.concatenate([*self.held, np.zeros(pad, dtype=np.uint32)]), np.repeat(np.array([1, 0], dtype=np.uint8), [self.n, pad]))
+            self._put(np.concatenate([*self.held, np.zeros(pad, dtype=self.ids)]), np.repeat([True, False], [self.n, pad]))
         self.out.close()
 
 
@@ -81,10 +82,11 @@ class SequenceFile:
             self.at, self.current = k, self.reader.get_batch(k)
         return self.current
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and mask of sequence k."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and mask of sequence k, as views of the file."""
         got, row = self._of(k // self.batch), k % self.batch
-        return tuple(got.column(c).values.to_numpy()[row * self.length : (row + 1) * self.length] for c in ("ids", "mask"))
+        ids, mask = (got.column(c).values.slice(row * self.length, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(), mask
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """Ids start to start + n of the file."""
@@ -94,7 +96,7 @@ class SequenceFile:
             took = min(n, size - at)
             parts.append(self._of(k).column("ids").values.to_numpy()[at : at + took])
             start, n = start + took, n - took
-        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, dtype=np.uint32)])
 
     def close(self) -> None:
         self.source.close()
@@ -121,7 +123,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
                     at = f"{at}/{name.rsplit('/', 1)[1]}"
                     sinks = store.open_output_stream(f"{at}.ids"), store.open_output_stream(f"{at}.docs")
                     kind = piece.schema.field("doc_id").type
-                    ids_out = SequenceWriter(sinks[0], length)
+                    ids_out = SequenceWriter(sinks[0], length, ids=np.uint16 if max(encoder.largest, end) < 1 << 16 else np.uint32)
                     docs_out = pa.ipc.new_file(sinks[1], pa.schema(zip(DOC_COLUMNS, (kind, pa.int64(), pa.int64()))))
                 ids, ends = encoder.encode(piece.column("text"))
                 ids = np.insert(ids, ends[1:], end)
