@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def worker_state(name: str, make, key: str = ""):
-    """A value kept by one Python worker from task to task; make() builds it once for a name, anew for another key."""
+    """A value that a Python worker keeps from task to task; make() builds it. One is kept: that of the last name and key."""
     home = sys.modules.setdefault("_stratalane_state", types.ModuleType("_stratalane_state"))
-    if getattr(home, name, (None,))[0] != key:
-        setattr(home, name, (key, make()))
-    return getattr(home, name)[1]
+    if getattr(home, "of", None) != (name, key):
+        home.of = home.value = None
+        home.value = make()
+        home.of = name, key
+    return home.value
 
 
 def shipped(spark: SparkSession, name: str, value):
@@ -63,6 +66,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iter
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -83,3 +87,47 @@ def totals(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive offsets, zero for empty stretches."""
     run = np.concatenate([np.zeros((1, *values.shape[1:]), dtype=values.dtype), np.cumsum(values, axis=0)])
     return run[offsets[1:]] - run[offsets[:-1]]
+
+
+class Words:
+    """Numbers for distinct words, remembered up to a bound; where that is reached, half of it stays, the words seen most.
+
+    A subclass says what is known of a word: learn() appends it for new words, keep() picks those that stay. What is
+    forgotten is learned anew when it comes again, so the bound changes no result.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.slots, self.seen = most, {}, np.zeros(0, dtype=np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        raise NotImplementedError
+
+    def keep(self, at: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def of(self, words: list[str]) -> np.ndarray:
+        at = self._found(words)
+        if len(new := np.flatnonzero(at < 0)):
+            if self.slots and len(self.slots) + len(new) > self.most:
+                self._shrink()
+                at = self._found(words)
+                new = np.flatnonzero(at < 0)
+            fresh = list(dict.fromkeys([words[i] for i in new]))
+            for k in range(0, len(fresh), 20_000):
+                self.learn(fresh[k : k + 20_000])
+            self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
+            self.seen = np.concatenate([self.seen, np.zeros(len(fresh), dtype=np.int32)])
+            at = self._found(words)
+        self.seen[at] += 1
+        return at
+
+    def _found(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slots.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+
+    def _shrink(self) -> None:
+        often = np.argsort(-self.seen, kind="stable")[: self.most // 2]
+        stay = np.sort(often[self.seen[often] > 1])
+        self.keep(stay)
+        names = list(self.slots)
+        self.slots = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.seen = self.seen[stay] // 2

@@ -31,6 +31,7 @@ from stratalane.llm.tokens import WordEncoder, default_tokenizer
 
 LENGTH = 4096
 END = 2
+SMALL = 100_000
 
 
 def _scaled(x: np.ndarray, by: int, over: int) -> np.ndarray:
@@ -125,7 +126,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, flo
     weights: target shares by source; sources that it does not name go by their own sizes after those are scaled.
     """
     spark, table = docs.sparkSession, encoded(docs, tokenizer)
-    by_part = table.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
+    by_part = written(table.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")), "parts")
     total = by_part.agg(F.sum("n").alias("t")).first().t or 0
     # Sources under a token a window share the queue "" of the rest: at most `length` queues remain.
     sizes = by_part.groupBy("source").agg(F.sum("n").alias("n"))
@@ -142,6 +143,9 @@ def packed(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, flo
     queue = by_part.join(F.broadcast(listed), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names) - 1)))
     before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
     offsets = queue.select("source", "part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # One row a source and part of the input; beyond SMALL of them, both sides are shuffled instead.
+    if by_part.count() <= SMALL:
+        offsets = F.broadcast(offsets)
     placed = table.join(offsets, ["source", "part"]).select("doc_id", "queue", (F.col("base") + F.col("local_start")).alias("at"), "n_tokens", "ids")
 
     def run(batches):

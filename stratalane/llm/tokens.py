@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from stratalane.llm.common import words_of
+from stratalane.llm.common import Words, words_of
+
+MAX_WORDS = 600_000
+#: Pre-tokens of letters, of single digits and of other marks: a mark behind a letter or digit begins one of its own.
+APART = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_tokenizer() -> str:
@@ -16,63 +22,75 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordIds(Words):
+    """The ids of distinct words, laid end to end in a pool."""
+
+    def __init__(self, ids_of, most: int):
+        super().__init__(most)
+        self.ids_of = ids_of
+        self.pool, self.used = np.empty(1 << 16, dtype=np.int32), 0
+        self.starts = self.lengths = np.zeros(0, dtype=np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        found = self.ids_of(words)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        need = self.used + int(lengths.sum())
+        while need > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used : need] = [i for ids in found for i in ids]
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.lengths, self.used = np.concatenate([self.lengths, lengths]), need
+
+    def keep(self, at: np.ndarray) -> None:
+        starts, lengths = self.starts[at], self.lengths[at]
+        ends = np.cumsum(lengths)
+        pool = self.pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self.pool, self.used = np.concatenate([pool, np.empty(1 << 16, dtype=np.int32)]), len(pool)
+        self.starts, self.lengths = ends - lengths, lengths
+
+
 class WordEncoder:
     """Encodes texts by a tokenizers file that drops white space and never joins across it.
 
-    Then a text's ids are the ids of its words in a row, so that each distinct word is encoded by the library once and
-    kept, up to max_words of them: beyond that the words kept are given up and learned anew, which bounds memory and
-    changes no result.
+    Then a text's ids are the ids of its words in a row, and each distinct word is encoded by the library once and kept.
+    Where the file folds case and sets marks apart from letters, so do we beforehand, which leaves fewer distinct words.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 16, dtype=np.int32), 0
-        self.starts, self.lengths = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64)
+        self.tokenizer, self.known = Tokenizer.from_file(path), WordIds(self._ids, max_words)
+        self.largest = max(self.tokenizer.get_vocab().values(), default=0)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        parts = lambda x: [p for y in x["pretokenizers" if "pretokenizers" in x else "normalizers"] for p in [y]] if x and x["type"] == "Sequence" else [x or {}]
+        lowers = any(p.get("type") == "Lowercase" for p in parts(said["normalizer"]))
+        self.folds = lowers and any(str(p.get("pattern", {}).get("Regex", "")).endswith(APART) for p in parts(said["pre_tokenizer"]))
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _split(self, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def _split(self, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct parts of words, the parts of each distinct word, the word codes of all texts and where each begins."""
         distinct, codes, offsets = words_of(text)
-        return distinct.to_pylist(), codes, offsets
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            found = self._ids(part)
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(lengths.sum()))
-            known, need = len(self.slots), self.used + len(flat)
-            while need > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while known + len(part) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-            self.pool[self.used : need] = flat
-            self.starts[known : known + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[known : known + len(part)] = lengths
-            self.slots.update(zip(part, range(known, known + len(part))))
-            self.used = need
+        if not self.folds:
+            return distinct.to_pylist(), np.arange(len(distinct))[:, None], codes, offsets
+        # Letters with marks to combine may compose by case, and special tokens have theirs.
+        fixed = pc.match_substring_regex(distinct, r"\pM|<\|")
+        low = pc.if_else(fixed, distinct, pc.ascii_lower(distinct))
+        cut = pc.extract_regex(low, r"^(?P<core>.*[\pL\pN])(?P<tail>[.,;:!?]+)$")
+        core = pc.coalesce(pc.struct_field(cut, "core"), low).dictionary_encode()
+        tail = pc.coalesce(pc.struct_field(cut, "tail"), pa.scalar("", core.dictionary.type)).dictionary_encode()
+        parts = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(core.dictionary)], axis=1)
+        return core.dictionary.to_pylist() + tail.dictionary.to_pylist(), parts, codes, offsets
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text begins in them (one more at the end)."""
-        words, codes, offsets = self._split(text)
-        slots = np.fromiter((self.slots.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        if (slots < 0).any():
-            new = [w for w, s in zip(words, slots) if s < 0]
-            if len(self.slots) + len(new) > self.max_words:
-                self._forget()
-                new = words
-            self._learn(new)
-            slots = np.fromiter((self.slots[w] for w in words), dtype=np.int64, count=len(words))
-        of = slots[codes] if len(codes) else np.zeros(0, dtype=np.int64)
-        lengths = self.lengths[of]
-        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        ids = self.pool[np.repeat(self.starts[of] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, ends[offsets]
+        words, parts, codes, offsets = self._split(text)
+        known = self.known
+        of = known.of(words)[parts][codes].ravel() if len(codes) else np.zeros(0, dtype=np.int32)
+        lengths = known.lengths[of]
+        ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths)])
+        ids = known.pool[np.repeat(known.starts[of] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[offsets * parts.shape[1]]

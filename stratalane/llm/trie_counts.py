@@ -16,21 +16,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratalane.llm.common import text_slices, totals, worker_state
+from stratalane.llm.common import Words, text_slices, totals, worker_state
 from stratalane.llm.pieces import Pieces, default_pieces, segments_of
 
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 
 
-class TrieCounter:
-    """Token counts of words, remembered up to a bound."""
+class TrieCounter(Words):
+    """Token counts of words."""
 
     def __init__(self, path: str, most: int = MAX_WORDS):
-        self.pieces, self.most, self.counts = Pieces(path), most, {}
+        super().__init__(most)
+        self.pieces, self.counts = Pieces(path), np.zeros(0, dtype=np.int64)
 
     def learn(self, words: list[str]) -> None:
         trie, unknown = self.pieces.trie, self.pieces.unknown_score
-        best, number, last = [0.0], [0], ""
+        best, number, last, terminal = [0.0], [0], "", {}
         for word in sorted(words):
             shared, top = 0, min(len(word), len(last))
             while shared < top and word[shared] == last[shared]:
@@ -48,20 +49,18 @@ class TrieCounter:
                     k -= 1
                 best.append(score)
                 number.append(count)
-            self.counts[word] = number[-1]
+            terminal[word] = number[-1]
             last = word
+        self.counts = np.concatenate([self.counts, np.fromiter(map(terminal.get, words), dtype=np.int64, count=len(words))])
 
-    def of(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.counts]
-        if len(self.counts) + len(new) > self.most:
-            self.counts, new = {}, words
-        self.learn(new)
-        return np.fromiter((self.counts[w] for w in words), dtype=np.int64, count=len(words))
+    def keep(self, at: np.ndarray) -> None:
+        self.counts = self.counts[at]
 
     def count(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and pre-tokens of each text."""
         words, codes, offsets = segments_of(text)
-        return totals(self.of(words)[codes] if len(codes) else np.zeros(0, dtype=np.int64), offsets), np.diff(offsets)
+        at = self.of(words)
+        return totals(self.counts[at[codes]] if len(codes) else np.zeros(0, dtype=np.int64), offsets), np.diff(offsets)
 
 
 def token_counts(docs: DataFrame, pieces: str | None = None) -> DataFrame:

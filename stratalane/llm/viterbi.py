@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from stratalane.llm.common import text_slices, worker_state
 from stratalane.llm.pieces import Pieces, default_pieces, segments_of
-from stratalane.llm.tokens import WordEncoder
+from stratalane.llm.tokens import MAX_WORDS, WordEncoder, WordIds
 
 LONG_WORD = 256
 
@@ -78,17 +78,17 @@ def encode_word(word: str, pieces: Pieces) -> list[int]:
 class SentenceEncoder(WordEncoder):
     """Encodes whole texts a distinct word at a time."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
-        self.pieces, self.max_words = Pieces(path), max_words
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
+        self.pieces, self.known = Pieces(path), WordIds(self._ids, max_words)
         if not self.pieces.splits:
             raise ValueError("this vocabulary has pieces across words; encode whole texts by stream()")
-        self._forget()
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [encode_word(w, self.pieces) for w in words]
 
     def _split(self, text: pa.Array):
-        return segments_of(text)
+        words, codes, offsets = segments_of(text)
+        return words, np.arange(len(words))[:, None], codes, offsets
 
 
 def coded(docs: DataFrame, pieces: str | None = None, keep_ids: bool = True) -> DataFrame:
