@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLE: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "overlap_join_k1"
+MODULES = ("id_queries", "matrix_queries", "interval_queries")
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its own name."""
+
+    def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"query {f.__name__} is there already")
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
 
 
-def register(name, query, sql=None):
-    if name in QUERIES:
-        raise ValueError(f"query {name} is there already")
-    QUERIES[name] = query
-    if sql is not None:
-        ORACLE[name] = sql
+def load_all() -> None:
+    for name in MODULES:
+        importlib.import_module(f"stratalane.plans.{name}")
