@@ -6,8 +6,8 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-FLAGSHIP = "overlap_join_k1"
-MODULES = ("id_queries", "matrix_queries", "interval_queries")
+FLAGSHIP = "feature_bins_mean"
+MODULES = ("id_queries", "matrix_queries", "interval_queries", "bin_queries", "sequence_queries", "annotation_queries", "statistics_queries")
 
 
 def query(sql: str | None = None):
