@@ -194,7 +194,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.where("doc_id IS NOT NULL")
-    kept = written(near_duplicates(named).where("doc_id = component_id").groupBy("doc_id").count(), "kept")
+    # Ids of most documents outgrow any broadcast; planned as a merge join, small inputs take the way of large ones.
+    kept = written(near_duplicates(named).where("doc_id = component_id").groupBy("doc_id").count(), "kept").hint("merge")
     once = named.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi").select(own)
     rank = next(n for n in map("__rank{}".format, range(len(own) + 1)) if n not in docs.columns)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
