@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -54,19 +56,26 @@ def shipped(spark: SparkSession, name: str, value):
     return lambda: worker_state(name, lambda: cloudpickle.loads(sent.value), key)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def _returned() -> None:
+    """Gives memory that is free back to the system: workers idle on while others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text (a longer text is a slice of its own), nulls as empty."""
     at = batch.schema.get_field_index(column)
-    text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-    batch = batch.set_column(at, pa.field(column, pa.large_string()), text)
-    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)) if len(text) else np.zeros(0)
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
     start = 0
-    while start < len(text):
+    while start < len(lengths):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield batch.slice(start, stop - start)
+        part = batch.slice(start, stop - start)
+        yield part.set_column(at, pa.field(column, pa.large_string()), pc.fill_null(part.column(at).cast(pa.large_string()), ""))
         start = stop
-    pa.default_memory_pool().release_unused()
+    _returned()
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ ORDER = 5
 TRAIN_ROWS = 400
 TRAIN_CHARS = 20_000
 CALIBRATION_ROWS = 400
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 UND = "und"
 PUNCTUATION = ".,;:!?\"'()[]{}|$%&*#<>-+=/\\_@~^`0123456789"
 _STEP = np.uint64(0x9E3779B97F4A7C15)

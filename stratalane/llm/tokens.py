@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from stratalane.llm.common import Words, words_of
 
-MAX_WORDS = 600_000
+MAX_WORDS = 500_000
 #: Pre-tokens of letters, of single digits and of other marks: a mark behind a letter or digit begins one of its own.
 APART = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -29,21 +29,21 @@ class WordIds(Words):
         super().__init__(most)
         self.ids_of = ids_of
         self.pool, self.used = np.empty(1 << 16, dtype=np.int32), 0
-        self.starts = self.lengths = np.zeros(0, dtype=np.int64)
+        self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def learn(self, words: list[str]) -> None:
         found = self.ids_of(words)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
         need = self.used + int(lengths.sum())
         while need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used : need] = [i for ids in found for i in ids]
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths, dtype=np.int64) - lengths])
         self.lengths, self.used = np.concatenate([self.lengths, lengths]), need
 
     def keep(self, at: np.ndarray) -> None:
         starts, lengths = self.starts[at], self.lengths[at]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         pool = self.pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
         self.pool, self.used = np.concatenate([pool, np.empty(1 << 16, dtype=np.int32)]), len(pool)
         self.starts, self.lengths = ends - lengths, lengths
@@ -89,8 +89,10 @@ class WordEncoder:
         """The ids of all texts in a row, and where each text begins in them (one more at the end)."""
         words, parts, codes, offsets = self._split(text)
         known = self.known
-        of = known.of(words)[parts][codes].ravel() if len(codes) else np.zeros(0, dtype=np.int32)
+        of = known.of(words)[parts.astype(np.int32)][codes].ravel() if len(codes) else np.zeros(0, dtype=np.int32)
         lengths = known.lengths[of]
-        ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths)])
-        ids = known.pool[np.repeat(known.starts[of] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, ends[offsets * parts.shape[1]]
+        ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths, dtype=np.int64)])
+        kind = np.int32 if max(known.used, ends[-1]) < 1 << 30 else np.int64  # halves what one text's places take
+        at = np.repeat((known.starts[of] - ends[:-1]).astype(kind), lengths)
+        at += np.arange(len(at), dtype=kind)
+        return known.pool[at], ends[offsets * parts.shape[1]]
