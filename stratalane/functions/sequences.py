@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,10 +33,22 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
 
 
-def window_starts(seq: Column | str, size: int, step: int, last_full: bool = True) -> Column:
-    """0-based starts of windows within a sequence; without last_full the window that ends with it is left out."""
+def chunks(seq: Column | str, size: int) -> Column:
+    """A sequence in pieces of `size`, the last one shorter. Windows are put together from these, as looking places up
+    in a long text one by one would walk it from its beginning each time."""
+    return F.regexp_extract_all(_c(seq), F.lit(f"[\\s\\S]{{1,{size}}}"), F.lit(0))
+
+
+def window_counts(seq: Column | str, characters: str, size: int, step: int, last_full: bool = True) -> Column:
+    """array<struct<start, n>>: how many of the characters each window has; starts are 0-based. Without last_full the
+    window that ends with the sequence is left out."""
+    unit = gcd(size, step)
+    counts = F.transform(chunks(seq, unit), lambda c: count_of(c, characters))
     room = F.length(_c(seq)) - size - (0 if last_full else 1)
-    return F.when(room >= 0, F.sequence(F.lit(0), room, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(room >= 0, F.sequence(F.lit(0), room, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    add = lambda a, x: a + x
+    every = lambda n: F.transform(starts, lambda s: F.struct(s.alias("start"), F.aggregate(F.slice(n, (s / unit).cast("int") + 1, size // unit), F.lit(0), add).alias("n")))
+    return F.get(F.transform(F.array(counts), every), F.lit(0))
 
 
 def shreds(seq: Column | str, size: int = 900, overlap: int = 300) -> Column:

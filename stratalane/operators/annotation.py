@@ -19,8 +19,8 @@ def _c(x: Column | str) -> Column:
 
 def parsed(attrs: Column | str) -> Column:
     """A bag from `key "value"; ...` or `key=value;...`."""
-    parts = F.filter(F.transform(F.split(_c(attrs), r';(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda p: F.trim(p)), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r'^([^\s=]+)', 1).alias("k"), F.regexp_replace(F.regexp_extract(p, r'^[^\s=]+[\s=]+([\s\S]*)$', 1), r'^"|"$', "").alias("v")))
+    parts = F.regexp_extract_all(_c(attrs), F.lit(r'[^\s;="]+(?:[\s=]+(?:"[^"]*"|[^;"]*))?'), F.lit(0))
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r'^([^\s=]+)', 1).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(p, r'^[^\s=]+[\s=]+([\s\S]*)$', 1)), r'^"|"$', "").alias("v")))
 
 
 def written_bag(bag: Column | str, bare: Sequence[str] = ("exon_number",)) -> Column:

@@ -17,11 +17,14 @@ FAN = 8
 SLICE = 1 << 16
 
 
-def _levels(frames: Sequence[DataFrame], start: str, end: str, pad: int) -> int:
+def longest_of(df: DataFrame, start: str = "s", end: str = "e") -> int:
+    return df.agg(F.max(F.col(end) - F.col(start))).first()[0] or 0
+
+
+def _levels(longest: int, pad: int) -> int:
     """Bin widths needed, each FAN times the one before, so that the longest interval fits the widest bin."""
-    longest = max((f.agg(F.max(F.col(end) - F.col(start))).first()[0] or 0) for f in frames) + 2 * pad
     n, width = 1, BIN
-    while width < longest:
+    while width < longest + 2 * pad:
         n, width = n + 1, width * FAN
     return n
 
@@ -41,15 +44,16 @@ def _binned(df: DataFrame, start: Column, end: Column, levels: int) -> DataFrame
     return df.withColumn("__own", own).withColumn("__at", F.explode(places)).select("*", F.col("__at.level").alias("__level"), F.col("__at.bin").alias("__bin")).drop("__at")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom",), k: int = 1, percent: float | None = None, start: str = "s", end: str = "e") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom",), k: int = 1, percent: float | None = None, start: str = "s", end: str = "e", longest: int | None = None) -> DataFrame:
     """Pairs of intervals with v = min(ends) - max(starts) + 1 of at least k; k < 0 allows gaps of up to -k.
 
     percent > 0 asks for that share of the longer interval, percent < 0 for that share of the shorter one (rounded down;
     a share that rounds to 0 lets abutting pairs through). Columns come back with 1 and 2 appended, and v.
+    longest bounds the intervals' lengths; without it both tables are read for it beforehand.
     Each pair is found at the level of its longer interval, in the later of the two first bins, and so once.
     """
     pad = 1 if percent is not None else max(0, 1 - k)
-    levels = _levels((left, right), start, end, pad)
+    levels = _levels(max(longest_of(f, start, end) for f in (left, right)) if longest is None else longest, pad)
     a = _binned(left, F.col(start) - pad, F.col(end) + pad, levels)
     b = _binned(right, F.col(start), F.col(end), levels)
     a, b = a.select([F.col(c).alias(f"{c}1") for c in a.columns]), b.select([F.col(c).alias(f"{c}2") for c in b.columns])

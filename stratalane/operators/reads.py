@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -138,10 +139,11 @@ def insert_sizes(mates: DataFrame, name: str, pos: str, length: str) -> DataFram
 
 def pieces(df: DataFrame, key: str, seq: str, size: int, overlap: int, at_gaps: bool = False) -> DataFrame:
     """(key, fragment, start, stop, piece): overlapping pieces of each sequence, or of its contigs apart at runs of N."""
-    contigs = F.split(F.col(seq), "[nN]+") if at_gaps else F.array(F.col(seq))
+    unit, contigs = gcd(size, size - overlap), F.split(F.col(seq), "[nN]+") if at_gaps else F.array(F.col(seq))
     rows = df.select(key, F.posexplode(contigs).alias("fragment", "__s"))
-    rows = rows.select("*", F.explode(seqs.shreds("__s", size, overlap)).alias("__at"))
-    return rows.select(key, "fragment", (F.col("__at") + 1).alias("start"), F.least(F.col("__at") + size, F.length("__s")).alias("stop"), F.substr(F.col("__s"), F.col("__at") + 1, F.lit(size)).alias("piece"))
+    cut = lambda parts: F.transform(seqs.shreds("__s", size, overlap), lambda s: F.struct(s.alias("at"), F.array_join(F.slice(parts, (s / unit).cast("int") + 1, size // unit), "").alias("piece")))
+    rows = rows.select(key, "fragment", F.length("__s").alias("__n"), F.explode(F.flatten(F.transform(F.array(seqs.chunks("__s", unit)), cut))).alias("x"))
+    return rows.select(key, "fragment", (F.col("x.at") + 1).alias("start"), F.least(F.col("x.at") + size, "__n").alias("stop"), F.col("x.piece").alias("piece"))
 
 
 def length_statistics(df: DataFrame, length: str, least: int = 150, shares: dict[str, float] | None = None) -> DataFrame:

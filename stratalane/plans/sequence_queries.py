@@ -47,8 +47,8 @@ def characters_counted(spark, sf_dir):
 @query(f"""WITH {SEQS}, w AS (SELECT id, seq, unnest(range(0, length(seq) - 200 + 1, 50)) AS p0 FROM seqs WHERE length(seq) >= 200)
 SELECT id, p0 + 100 AS middle, {_n('GC', 'substr(seq, p0 + 1, 200)')} AS gc FROM w""")
 def gc_windows(spark, sf_dir):
-    rows = sequences(spark, sf_dir).select("id", "seq", F.explode(seqs.window_starts("seq", 200, 50)).alias("at"))
-    return rows.select("id", (F.col("at") + 100).cast("long").alias("middle"), seqs.count_of(F.substr("seq", F.col("at") + 1, F.lit(200)), "GC").cast("long").alias("gc"))
+    rows = sequences(spark, sf_dir).select("id", F.explode(seqs.window_counts("seq", "GC", 200, 50)).alias("w"))
+    return rows.select("id", (F.col("w.start") + 100).cast("long").alias("middle"), F.col("w.n").cast("long").alias("gc"))
 
 
 @query(f"""WITH {SEQS}, c AS (SELECT id, unnest(range(0, CAST(greatest(0, ceil((length(seq) - 900) / 600)) AS BIGINT) * 600 + 1, 600)) AS p0, seq FROM seqs WHERE length(seq) > 0)
