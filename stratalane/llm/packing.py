@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalane.llm.common import text_slices, worker_state, written
-from stratalane.llm.tokens import WordEncoder, default_tokenizer
+from stratalane.llm.tokens import SLICE, WordEncoder, default_tokenizer
 
 LENGTH = 4096
 END = 2
@@ -103,7 +103,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> Da
         encoder = worker_state(f"words:{path}", lambda: WordEncoder(path))
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", SLICE):
                 ids, ends = encoder.encode(piece.column("text"))
                 starts, bodies, counts = [], [], np.diff(ends) + 1
                 for source, n, a, b in zip(piece.column("source").to_pylist(), counts.tolist(), ends[:-1].tolist(), ends[1:].tolist()):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalane.llm.common import fresh_path, text_slices, worker_state, written
-from stratalane.llm.tokens import WordEncoder, default_tokenizer
+from stratalane.llm.tokens import SLICE, WordEncoder, default_tokenizer
 
 LENGTH = 2048
 BATCH = 64
@@ -115,7 +115,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         part, name, ids_out = TaskContext.get().partitionId(), "", None
         n_docs = n_tokens = 0
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", SLICE):
                 if ids_out is None:
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
                     store, at = fs.FileSystem.from_uri(folder)

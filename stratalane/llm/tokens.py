@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,11 @@ import pyarrow.compute as pc
 from stratalane.llm.common import Words, words_of
 
 MAX_WORDS = 500_000
+#: Bytes of text encoded at once: each slice looks its distinct words up again, so larger ones are cheaper.
+SLICE = 4 << 20
 #: Pre-tokens of letters, of single digits and of other marks: a mark behind a letter or digit begins one of its own.
 APART = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_END = "\u0250"
 
 
 def default_tokenizer() -> str:
@@ -68,8 +72,19 @@ class WordEncoder:
         lowers = any(p.get("type") == "Lowercase" for p in parts(said["normalizer"]))
         self.folds = lowers and any(str(p.get("pattern", {}).get("Regex", "")).endswith(APART) for p in parts(said["pre_tokenizer"]))
 
+        # Words of small Latin letters are one pre-token as they stand, so for these the file's own preparation is left out.
+        if self.folds:
+            said["normalizer"], said["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": [p for p in parts(said["pre_tokenizer"]) if p.get("type") != "Split"]}
+            self.bare = Tokenizer.from_str(json.dumps(said))
+
     def _ids(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        every = lambda tokenizer, some: [x.ids for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        if not self.folds:
+            return every(self.tokenizer, words)
+        plain = [w.isalpha() and max(w) < LATIN_END and w == w.lower() for w in words]
+        bare = iter(every(self.bare, list(compress(words, plain))))
+        other = iter(every(self.tokenizer, [w for w, p in zip(words, plain) if not p]))
+        return [next(bare) if p else next(other) for p in plain]
 
     def _split(self, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct parts of words, the parts of each distinct word, the word codes of all texts and where each begins."""
