@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalane.operators.intervals import overlap_join
+from stratalane.operators.intervals import merged, running
+
+ANSWER_BIN = 512
+#: Bins of a reference up to which they are sent to every task; above it the join is Spark's own choice.
+SENT_ROWS = 500_000
 
 
 def cumulative_regions(regions: DataFrame, order: str, size: str) -> DataFrame:
@@ -43,9 +47,52 @@ def relocated(features: DataFrame, regions: DataFrame, seed: int | Column) -> Da
     return rows.select(F.col("__to.chrom").alias("chrom"), F.col("__to.at").alias("s"), (F.col("__to.at") + length).alias("e"), *kept)
 
 
-def permutation_overlaps(test: DataFrame, reference: DataFrame, regions: DataFrame, rounds: int = 100) -> DataFrame:
-    """(round, placed, overlapping): distinct test ids that overlap the reference; round 0 is as observed, others are shuffled."""
-    copies = test.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    every = relocated(copies, regions, F.col("round")).select("chrom", "s", "e", "id", "round").unionByName(test.select("chrom", "s", "e", "id", F.lit(0).alias("round")))
-    hits = overlap_join(every, reference.select("chrom", "s", "e")).groupBy(F.col("round1").alias("round")).agg(F.count_distinct("id1").alias("overlapping"))
-    return every.groupBy("round").agg(F.count("*").alias("placed")).join(hits, "round", "left").na.fill(0, ["overlapping"])
+def _redrawn(test: DataFrame, regions: DataFrame, rounds: int, spread: int) -> DataFrame:
+    """test placed anew in each round, to the places that relocated() gives with the round as seed.
+
+    What depends on lengths and regions is made once for a block of rounds; a round only looks up its draw among the summed rooms.
+    """
+    # Few features make many rows: blocks of rounds are dealt out first, while rows are short, to a number that stays as it is.
+    block = max(1, rounds // 10)
+    rows = test.withColumn("__from", F.explode(F.sequence(F.lit(1), F.lit(rounds), F.lit(block)))).repartition(spread, "chrom", "s", "e", "id", "__from")
+    listed = regions.agg(F.sort_array(F.collect_list(F.struct("chrom", "size"))).alias("__all"))
+    length = F.col("e") - F.col("s")
+    room = F.transform("__all", lambda r: F.greatest(F.lit(0), r["size"] - length - 1))
+    none = F.array().cast("array<bigint>")
+    ends = F.aggregate("__room", none, lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
+    rows = rows.crossJoin(F.broadcast(listed)).withColumn("__room", room).withColumn("__ends", ends).withColumn("__sum", F.get("__ends", F.size("__ends") - 1)).where("__sum > 0")
+    rows = rows.withColumn("__chroms", F.col("__all.chrom")).drop("__room", "__all")
+    rows = rows.withColumn("round", F.explode(F.sequence("__from", F.least(F.col("__from") + (block - 1), F.lit(rounds)))))
+    rows = rows.withColumn("__draw", F.pmod(F.xxhash64("id", "round"), "__sum"))
+    rows = rows.withColumn("__k", F.size(F.filter("__ends", lambda x: x <= F.col("__draw"))))
+    rows = rows.withColumn("__at", F.col("__draw") - F.when(F.col("__k") > 0, F.get("__ends", F.col("__k") - 1)).otherwise(0) + 1)
+    return rows.select(F.get("__chroms", "__k").alias("chrom"), F.col("__at").alias("s"), (F.col("__at") + length).alias("e"), "id", "__copies", "round")
+
+
+def _answers(reference: DataFrame, reach: DataFrame) -> DataFrame:
+    """The union of reference cut into bins: for every end of an interval up to reach (chrom, far), the one row with the last island that begins at or before it."""
+    union = running(merged(reference), ("chrom",), ("s",), {"__next": ("min", "s")}, reverse=True)
+    last = union.join(reach, "chrom").select("chrom", F.col("s").alias("__s"), F.col("e").alias("__e"), F.coalesce(F.col("__next") - 1, F.greatest("s", "far")).alias("__until"))
+    return last.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__s") / ANSWER_BIN), F.floor(F.col("__until") / ANSWER_BIN))))
+
+
+def permutation_overlaps(test: DataFrame, reference: DataFrame, regions: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(round, placed, overlapping): distinct test ids that overlap the reference; round 0 is as observed, others are shuffled.
+
+    Whether a feature overlaps is asked of the reference's union, of which one island at most can tell, so that a placed
+    feature is one row throughout and rounds x features is what the test costs, however deep the reference lies.
+    """
+    spark = test.sparkSession
+    test = test.select("chrom", "s", "e", "id")
+    test = test.join(test.groupBy("id").agg(F.count("*").alias("__copies")), "id", "left")
+    every = _redrawn(test, regions, rounds, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).unionByName(test.withColumn("round", F.lit(0)))
+    reach = regions.select("chrom", F.col("size").alias("far")).unionByName(test.select("chrom", F.col("e").alias("far"))).groupBy("chrom").agg(F.max("far").alias("far"))
+    answers = _answers(reference.select("chrom", "s", "e").where("s <= e"), reach)
+    if answers.count() <= SENT_ROWS:
+        answers = F.broadcast(answers)
+    answers = answers.withColumnRenamed("chrom", "__chrom")
+    met = (F.col("chrom") == F.col("__chrom")) & (F.floor(F.col("e") / ANSWER_BIN) == F.col("__bin")) & F.col("e").between(F.col("__s"), F.col("__until"))
+    asked = every.join(answers, met, "left").withColumn("__hit", F.coalesce((F.col("__e") >= F.col("s")) & (F.col("s") <= F.col("e")), F.lit(False)))
+    # Ids that occur once are counted as rows; only the others have to be told apart.
+    once, again = (F.count(F.when(F.col("__hit") & (F.col("__copies") == 1), 1)), F.count_distinct(F.when(F.col("__hit") & (F.col("__copies") > 1), F.col("id"))))
+    return asked.groupBy("round").agg(F.count("*").alias("placed"), (once + again).alias("overlapping"))

@@ -114,7 +114,7 @@ def reciprocal_best(spark, sf_dir):
 def permutation_overlaps(spark, sf_dir):
     f = features(spark, sf_dir)
     regions = signal(spark, sf_dir).groupBy("chrom").agg((F.max("pos") + 1).alias("size"))
-    return sampling.permutation_overlaps(f.where("strand = '-'"), f.where("strand = '+'"), regions, rounds=5)
+    return sampling.permutation_overlaps(f.where("strand = '-'"), f.where("strand = '+'"), regions, rounds=1000)
 
 
 @query()

@@ -128,6 +128,29 @@ def test_relocation_stays_inside(spark):
     assert len(moved) == 40 and all(0 < r.s and r.e < {1: 100, 2: 60}[r.chrom] for r in moved) and {r.chrom for r in moved} == {1, 2}
 
 
+def test_permutations_against_relocation(spark):
+    """Rounds as placed one by one; ids twice, features that fit nowhere, and reference islands over many bins."""
+    rng = random.Random(5)
+    test = [(rng.randrange(3), s := rng.randrange(9000), s + rng.choice([0, 40, 3000, 20_000]), i // 2 if i < 20 else i) for i in range(60)]
+    ref = [(rng.randrange(3), s := rng.randrange(9000), s + rng.choice([0, 30, 2500])) for _ in range(12)]
+    sizes = spark.createDataFrame([(0, 9000), (1, 50), (2, 7000)], "chrom int, size long")
+    tests, refs = spark.createDataFrame(test, "chrom int, s long, e long, id long"), spark.createDataFrame(ref, "chrom int, s long, e long")
+    found = {r["round"]: (r.placed, r.overlapping) for r in sampling.permutation_overlaps(tests, refs, sizes, rounds=25).collect()}
+    hit = lambda rows: len({i for c, s, e, i in rows if any(c == d and s <= y and e >= x for d, x, y in ref)})
+    placed = {n: [(r.chrom, r.s, r.e, r.id) for r in sampling.relocated(tests, sizes, F.lit(n)).collect()] for n in (1, 2, 3, 24, 25)}
+    assert set(found) == set(range(26)) and found[0] == (60, hit(test))
+    assert {n: found[n] for n in placed} == {n: (len(x), hit(x)) for n, x in placed.items()}
+
+
+def test_permutation_query_has_the_rounds_of_the_reference(spark):
+    from stratalane.plans import catalog
+    from tests.conftest import SF
+
+    catalog.load_all()
+    rounds = [r["round"] for r in catalog.QUERIES["permutation_overlaps"](spark, SF).collect()]
+    assert sorted(rounds) == list(range(1001))
+
+
 def test_readers_and_writers(spark, tmp_path):
     put = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
     bed = readers.bed(spark, put("a.bed", "track x\nchr1\t10\t50\tn\t0\t-\t10\t50\t0\t2\t10,5,\t0,35,\n\n# c\nchr2\t1\t2\n")).collect()
