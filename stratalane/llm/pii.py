@@ -92,6 +92,11 @@ _NAME = "(?:" + "|".join(_NAMES) + ")"
 #: Runs of at least seven spelled digits; "plus" before them stands for +.
 _SPELLED = re.compile(rf"(?:\bplus[\s,-]+)?\b{_NAME}(?:[\s,.-]+{_NAME})" r"{6,}\b", re.I)
 _SPELLED_ITEM = re.compile(rf"plus|{_NAME}", re.I)
+#: Four or more digits, spelled or plain, with nothing but blanks, marks and dots between; no pattern of numbers has fewer.
+_ITEM = rf"(?:\b{_NAME}\b|[0-9])"
+_GROUP = re.compile(rf"(?:\bplus[\s,-]+)?{_ITEM}(?:(?:[\s,.()\[\]{{}}<>-]|\bdot\b)*+{_ITEM}){{3,}}+", re.I)
+_GROUP_ITEM = re.compile(rf"\bplus\b|\b{_NAME}\b|[0-9]+", re.I)
+_APART = re.compile(r"[\s,-]+")
 _AT = rf"(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:at|@)\s{{0,3}}[\])}}>]\s{{0,3}}|\s+(?:at|@)\s+|\s{{0,3}}@\s{{0,3}})"
 _DOT = rf"(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s+dot\s+|\.)"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
@@ -124,8 +129,31 @@ class Normal:
         return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
 
 
-def normalised(text: str) -> Normal | None:
-    """The normal form of a text, or None where nothing in it is disguised."""
+def _grouped(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make every spelled digit of a group plain, in runs of any length and next to plain digits."""
+    edits = []
+    for group in _GROUP.finditer(text):
+        items = [m for m in _GROUP_ITEM.finditer(text, group.start(), group.end()) if m[0][0].isdigit() or m[0].lower() == "plus" or m[0].lower() in _NAMES]
+        for m, n in zip(items, [*items[1:], None]):
+            apart = n is not None and _APART.fullmatch(text, m.end(), n.start())
+            if not m[0][0].isdigit():
+                edits.append((m.start(), n.start() if apart else m.end(), _NAMES.get(m[0].lower(), "+")))
+            elif apart and not n[0][0].isdigit() and apart[0] not in " -":
+                edits.append((m.end(), n.start(), " "))
+    return edits
+
+
+def normalised(text: str, grouped: bool = False) -> Normal | None:
+    """The normal form of a text, or None where nothing in it is disguised.
+
+    With grouped, spelled digits of any run length are plain in it, not those of long runs only; None without such.
+    """
+    if grouped:
+        normal = Normal(text)
+        normal.rewrite([(m.start(), m.end(), HOMOGLYPHS[m[0]]) for m in _STRANGE.finditer(text)])
+        edits = _grouped(normal.text)
+        normal.rewrite(edits)
+        return _undotted(normal) if edits else None
     strange, low = _STRANGE.search(text), text.lower()
     spelled = sum(map(low.count, ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))) >= 5 and _SPELLED.search(low if len(low) == len(text) else text)
     marked = _DISGUISED_MARK.search(text)
@@ -141,6 +169,11 @@ def normalised(text: str) -> Normal | None:
         # Each digit stands for its own word, the separators go with the word before them.
         edits += [(m.start(), n.start() if n else run.end(), x) for m, n, x in zip(items, [*items[1:], None], new)]
     normal.rewrite(edits)
+    return _undotted(normal)
+
+
+def _undotted(normal: Normal) -> Normal:
+    """normal with plain at and dot where they are disguised."""
     edits = []
     for m in _DISGUISED.finditer(normal.text):
         at = _AT_ONLY.search(normal.text, m.start(), m.end())
@@ -159,14 +192,15 @@ def normalised(text: str) -> Normal | None:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans with the disguised ones."""
     base = base_spans(text)
-    normal = normalised(text)
-    if normal is None or normal.starts is None:
-        return base, base
     added: list[Span] = []
-    for s, kind, e in base_spans(normal.text):
-        start, end = normal.source(s, e)
-        if all(end <= x.start or x.end <= start for x in (*base, *added)):
-            added.append(Span(start, kind, end))
+    # Both forms count: a spelled digit beside an identifier may belong to it or not.
+    for normal in (normalised(text), normalised(text, grouped=True)):
+        if normal is None or normal.starts is None:
+            continue
+        for s, kind, e in base_spans(normal.text):
+            start, end = normal.source(s, e)
+            if all(end <= x.start or x.end <= start for x in (*base, *added)):
+                added.append(Span(start, kind, end))
     return base, sorted([*base, *added]) if added else base
 
 

@@ -76,6 +76,24 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert found not in pii.masked(text, spans)
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("call four one five 555 0100 or plus one 415 five five five 0100 now", "phone", "plus one 415 five five five 0100"),
+        ("card 4111 1111 1111 one one one one.", "card", "4111 1111 1111 one one one one"),
+        ("card 4111 one, one one one 1111, one one one one.", "card", "4111 one, one one one 1111, one one one one"),
+        ("host one nine two dot one six eight dot zero dot one!", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host 192.168.zero.one!", "ip", "192.168.zero.one"),
+        ("call +1 415 555 four four two two!", "phone", "+1 415 555 four four two two"),
+        ("one ４１１１ １１１１ １１１１ １１１１ one", "card", "４１１１ １１１１ １１１１ １１１１"),
+    ],
+)
+def test_digits_spelled_in_part(text, kind, found):
+    base, spans = pii.all_spans(text)
+    assert found in [text[s:e] for s, k, e in spans if pii.KINDS[k] == kind]
+    assert found not in pii.masked(text, spans)
+
+
 @pytest.mark.parametrize("text", ["meet me at noon", "look at example dots", "one two three", "the dot com era at large", "version 1.2.3 at 10", "five six seven eight at nine"])
 def test_clean_prose_has_no_spans(text):
     assert pii.all_spans(text) == ([], [])
