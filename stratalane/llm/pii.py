@@ -3,7 +3,7 @@
 A transducer rewrites a text to a normal form in which look-alike letters and digits, spelled-out digits and "at"/"dot"
 disguises are plain, and keeps for each character of the normal form the source span it came from. The same patterns
 run over the normal form, and what they find is mapped back to source offsets. Spans that the base patterns found stay
-as they are; a disguised one is added only where it overlaps none of them.
+as they are; a disguised one is added unless a single span holds it whole, as a base span can be a fragment of it.
 
 Defined results: a null text counts as empty and has no spans; texts are scanned whole at any length; equal rows give
 equal rows; an empty table gives an empty result; the other columns of the input are not read.
@@ -199,7 +199,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
             continue
         for s, kind, e in base_spans(normal.text):
             start, end = normal.source(s, e)
-            if all(end <= x.start or x.end <= start for x in (*base, *added)):
+            if not any(x.start <= start and end <= x.end for x in (*base, *added)):
                 added.append(Span(start, kind, end))
     return base, sorted([*base, *added]) if added else base
 

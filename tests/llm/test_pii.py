@@ -94,6 +94,22 @@ def test_digits_spelled_in_part(text, kind, found):
     assert found not in pii.masked(text, spans)
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("jаne.doe@mail.org", "email"),  # Cyrillic а
+        ("jane.doe@mail.exаmple.org", "email"),
+        ("jane@mail.example [dot] org", "email"),
+        ("+44 20 7946 095８", "phone"),
+        ("+1 415 555 0100 four four", "phone"),
+    ],
+)
+def test_a_fragment_does_not_stand_for_the_whole(text, kind):
+    base, spans = pii.all_spans(text)
+    assert set(base) <= set(spans) and (0, pii.KINDS.index(kind), len(text)) in spans
+    assert pii.masked(f"a {text} b", pii.all_spans(f"a {text} b")[1]) == f"a {pii.MASKS[kind]} b"
+
+
 @pytest.mark.parametrize("text", ["meet me at noon", "look at example dots", "one two three", "the dot com era at large", "version 1.2.3 at 10", "five six seven eight at nine"])
 def test_clean_prose_has_no_spans(text):
     assert pii.all_spans(text) == ([], [])
