@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder: cuts the lineage of a loop and survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stratalane-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/stratalane/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from stratalane.session import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,14 +14,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least root over a node's neighbours and then that root's own root, so paths halve.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = _kept(both)
-    roots = _kept(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    edges = written(both, "edges")
+    roots = table = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
     while True:
         r = roots.select(F.col("node").alias("b"), F.col("root").alias("r"))
         near = edges.join(r, "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         step = roots.join(near, "node").select("node", "root", F.least("root", "r").alias("low"))
         over = roots.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        new = _kept(step.join(over, "low").select("node", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("moved")))
+        new = written(step.join(over, "low").select("node", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("moved")), "roots")
+        dropped(table)
+        table = new
         if new.where("moved").isEmpty():
             return new.select("node", "root")
         roots = new.select("node", "root")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +25,47 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="stratalane-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/stratalane/{label}-{uuid.uuid4().hex}"
+
+
+def _store(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Has an existing folder deleted when the driver's JVM ends."""
+    place, store = _store(spark, path)
+    store.deleteOnExit(place)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts its lineage, survives lost executors, goes when the driver ends."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    passing(df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stratalane_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        place, store = _store(df.sparkSession, df._stratalane_path)
+        store.delete(place, True)
+        store.cancelDeleteOnExit(place)
