@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalane.llm.common import shipped, written
+from stratalane.llm.common import shipped
+from stratalane.session import written
 
 TOP = 20
 FIT_ROWS = 40_000

@@ -1,11 +1,10 @@
-"""What the corpus operators share: the shared folder, written tables, batches and words."""
+"""What the corpus operators share: what workers keep, batches and words."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Iterator
@@ -15,31 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 WS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stratalane-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/stratalane/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def worker_state(name: str, make, key: str = ""):
     """A value that a Python worker keeps from task to task; make() builds it. One is kept: that of the last name and key."""
     home = sys.modules.setdefault("_stratalane_state", types.ModuleType("_stratalane_state"))

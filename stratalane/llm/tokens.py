@@ -66,6 +66,7 @@ class WordEncoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), WordIds(self._ids, max_words)
         self.largest = max(self.tokenizer.get_vocab().values(), default=0)
+        self.apart: dict[str, bool] = {}
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         parts = lambda x: [p for y in x["pretokenizers" if "pretokenizers" in x else "normalizers"] for p in [y]] if x and x["type"] == "Sequence" else [x or {}]
@@ -86,6 +87,13 @@ class WordEncoder:
         other = iter(every(self.tokenizer, [w for w, p in zip(words, plain) if not p]))
         return [next(bare) if p else next(other) for p in plain]
 
+    def _apart(self, letter: str) -> bool:
+        """Whether the file sets marks apart from this letter: not where its normal form ends in a mark, as that of İ does."""
+        if letter not in self.apart:
+            held = self.tokenizer.normalizer.normalize_str(letter + ".")
+            self.apart[letter] = self.tokenizer.pre_tokenizer.pre_tokenize_str(held)[-1][0] == "."
+        return self.apart[letter]
+
     def _split(self, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct parts of words, the parts of each distinct word, the word codes of all texts and where each begins."""
         distinct, codes, offsets = words_of(text)
@@ -95,8 +103,14 @@ class WordEncoder:
         fixed = pc.match_substring_regex(distinct, r"\pM|<\|")
         low = pc.if_else(fixed, distinct, pc.ascii_lower(distinct))
         cut = pc.extract_regex(low, r"^(?P<core>.*[\pL\pN])(?P<tail>[.,;:!?]+)$")
-        core = pc.coalesce(pc.struct_field(cut, "core"), low).dictionary_encode()
-        tail = pc.coalesce(pc.struct_field(cut, "tail"), pa.scalar("", core.dictionary.type)).dictionary_encode()
+        core, tail = pc.struct_field(cut, "core"), pc.struct_field(cut, "tail")
+        last = pc.utf8_slice_codeunits(core, -1).dictionary_encode()
+        joins = [c for c in last.dictionary.to_pylist() if not self._apart(c)]
+        if joins:
+            hit = pc.is_in(pc.utf8_slice_codeunits(core, -1), pa.array(joins, type=last.dictionary.type))
+            core, tail = (pc.if_else(hit, pa.scalar(None, x.type), x) for x in (core, tail))
+        core = pc.coalesce(core, low).dictionary_encode()
+        tail = pc.coalesce(tail, pa.scalar("", core.dictionary.type)).dictionary_encode()
         parts = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(core.dictionary)], axis=1)
         return core.dictionary.to_pylist() + tail.dictionary.to_pylist(), parts, codes, offsets
 

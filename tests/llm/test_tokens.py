@@ -1,3 +1,6 @@
+import random
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,3 +32,18 @@ def test_what_is_seen_most_stays():
         encoder.encode(pa.array([f"often always w{i} v{i} u{i}"], type=pa.large_string()))
     assert {"often", "always"} <= set(encoder.known.slots) and len(encoder.known.slots) <= 20
     assert np.array_equal(encoder.encode(pa.array(["often"], type=pa.large_string()))[0], tokenizer().encode("often", add_special_tokens=False).ids)
+
+
+ODD = "İıſKÅßẞΣςŉǰ\u0958\ufb2aﬁ\u0301\u0307\u0327\xa0\u2028\u200baBzéÉ19٣½日한한.,:;!?\n\t -_()😀𝒜\x85\x1cªºµǄǅΐ①"
+
+
+def test_texts_of_odd_letters_are_as_the_library_has_them():
+    rng = random.Random(5)
+    parts = [*ODD, "<|endoftext|>", "<|startoftext|>", "<|", "|>", "'s", "'S", "don't", "...", "!?", "  "]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.8 else chr(rng.randrange(0x20, 0x3100)) for _ in range(rng.randrange(25))) for _ in range(20_000)]
+    # Every letter and digit before a mark, as some have normal forms that end in one.
+    letters = [chr(c) for c in range(0x80, 0x3100) if unicodedata.category(chr(c))[0] in "LN"]
+    texts += [f"x{c}. {c}!? a" for c in letters]
+    ids, ends = tokens.WordEncoder(tokens.default_tokenizer()).encode(pa.array(texts, type=pa.large_string()))
+    want = [x.ids for x in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
