@@ -8,8 +8,11 @@ where each begins among the part's ids and how many it has. Parts are written by
 folder; a manifest written by Spark names the file of the attempt that won, so that retried or speculative tasks leave
 at worst an unread file, and the totals in it give each part its place in the whole corpus.
 
-Defined results: a null text counts as empty (its document is its end id alone); equal doc_ids are laid down one after
-the other; texts are written whole at any length; an empty table gives a manifest without rows; other columns of the
+Texts are encoded where they lie, and only ids are sorted; a doc_id that many rows share is spread over files like any
+other stretch of rows. A file holds about FILE_TOKENS ids at most, so their number grows with the corpus, not their size.
+
+Defined results: a null text counts as empty (its document is its end id alone); a null doc_id comes first; rows of one
+doc_id are laid down by length, then by checksum of their ids, and rows equal in these in the order of the input; texts are written whole at any length; an empty table gives a manifest without rows; other columns of the
 input are not read.
 """
 
@@ -25,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalane.llm.common import fresh_path, text_slices, worker_state, written
+from stratalane.llm.common import text_slices, worker_state
 from stratalane.llm.tokens import SLICE, WordEncoder, default_tokenizer
+from stratalane.session import dropped, fresh_path, passing, written
 
 LENGTH = 2048
 BATCH = 64
 END = 1
+FILE_TOKENS = 64 << 20
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
 
 
@@ -47,7 +52,7 @@ class SequenceWriter:
         self.out, self.schema = pa.ipc.new_file(sink, schema), schema
 
     def write(self, ids: np.ndarray) -> None:
-        self.held.append(ids.astype(self.ids))
+        self.held.append(ids.astype(self.ids, copy=False))
         self.n += len(ids)
         size = self.length * self.batch
         if self.n >= size:
@@ -105,43 +110,74 @@ class SequenceFile:
 DOC_COLUMNS = ("doc_id", "start", "n_tokens")
 
 
-def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end: int = END, length: int = LENGTH) -> DataFrame:
-    """Writes the ids of docs in ascending doc_id order; returns the manifest, one row a file in that order."""
-    path, folder = tokenizer or default_tokenizer(), (folder or fresh_path(docs.sparkSession, "tokens")).rstrip("/")
-    folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+def _width(encoder: WordEncoder, end: int):
+    return np.dtype("<u2" if max(encoder.largest, end) < 1 << 16 else "<u4")
+
+
+def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
+    """A written table (doc_id, n_tokens, crc, row, ids): what is sorted afterwards is ids, a fraction of the text."""
 
     def run(batches):
         encoder = worker_state(f"words:{path}", lambda: WordEncoder(path))
-        part, name, ids_out = TaskContext.get().partitionId(), "", None
-        n_docs = n_tokens = 0
+        row, kind = TaskContext.get().partitionId() << 40, _width(encoder, end)
         for batch in batches:
             for piece in text_slices(batch, "text", SLICE):
-                if ids_out is None:
-                    name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
-                    store, at = fs.FileSystem.from_uri(folder)
-                    store.create_dir(at, recursive=True)
-                    at = f"{at}/{name.rsplit('/', 1)[1]}"
-                    sinks = store.open_output_stream(f"{at}.ids"), store.open_output_stream(f"{at}.docs")
-                    kind = piece.schema.field("doc_id").type
-                    ids_out = SequenceWriter(sinks[0], length, ids=np.uint16 if max(encoder.largest, end) < 1 << 16 else np.uint32)
-                    docs_out = pa.ipc.new_file(sinks[1], pa.schema(zip(DOC_COLUMNS, (kind, pa.int64(), pa.int64()))))
                 ids, ends = encoder.encode(piece.column("text"))
-                ids = np.insert(ids, ends[1:], end)
+                flat = np.insert(ids.astype(kind), ends[1:], end)
                 counts = np.diff(ends) + 1
-                starts = n_tokens + np.cumsum(counts) - counts
-                docs_out.write_batch(pa.record_batch([piece.column("doc_id"), pa.array(starts), pa.array(counts)], schema=docs_out_schema(kind)))
-                ids_out.write(ids)
-                n_docs, n_tokens = n_docs + len(counts), n_tokens + len(ids)
-        if ids_out is not None:
-            ids_out.close(), docs_out.close(), [x.close() for x in sinks]
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], names=["part", "file", "n_docs", "n_tokens"])
+                places = np.concatenate([[0], np.cumsum(counts)])
+                body = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(places * kind.itemsize), pa.py_buffer(flat)])
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+                rows = np.arange(row, row := row + len(counts))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), pa.array(counts), pa.array(crc, type=pa.int64()), pa.array(rows), body.cast(pa.binary())],
+                    names=["doc_id", "n_tokens", "crc", "row", "ids"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, crc long, row long, ids binary"), "encoded")
 
-    def docs_out_schema(kind):
-        return pa.schema(zip(DOC_COLUMNS, (kind, pa.int64(), pa.int64())))
 
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(run, MANIFEST), "manifest")
+def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end: int = END, length: int = LENGTH) -> DataFrame:
+    """Writes the ids of docs in ascending doc_id order; returns the manifest, one row a file in that order."""
+    spark, own = docs.sparkSession, folder is None
+    path, folder = tokenizer or default_tokenizer(), (folder or fresh_path(spark, "tokens")).rstrip("/")
+    folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    kind = np.dtype(_width(WordEncoder(path), end))
+
+    def run(batches):
+        part, ids_out, n_docs, n_tokens = TaskContext.get().partitionId(), None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = pa.schema(zip(DOC_COLUMNS, (batch.schema.field("doc_id").type, pa.int64(), pa.int64())))
+            if ids_out is None:
+                name = f"part-{part:06d}-{uuid.uuid4().hex}"
+                store, at = fs.FileSystem.from_uri(folder)
+                store.create_dir(at, recursive=True)
+                sinks = [store.open_output_stream(f"{at}/{name}.{x}") for x in ("ids", "docs")]
+                ids_out, docs_out = SequenceWriter(sinks[0], length, ids=kind.type), pa.ipc.new_file(sinks[1], schema)
+            counts = batch.column("n_tokens").to_numpy()
+            starts = n_tokens + np.cumsum(counts) - counts
+            docs_out.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(starts), pa.array(counts)], schema=schema))
+            for body in batch.column("ids"):
+                ids_out.write(np.frombuffer(body.as_buffer(), dtype=kind))
+            n_docs, n_tokens = n_docs + len(counts), n_tokens + int(counts.sum())
+        if ids_out is not None:
+            for x in (ids_out, docs_out, *sinks):
+                x.close()
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([n_docs]), pa.array([n_tokens])], names=["part", "file", "n_docs", "n_tokens"])
+
+    table = encoded(docs, path, end)
+    total = table.agg(F.sum("n_tokens").alias("n")).first().n or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_TOKENS))
+    order = ["doc_id", "n_tokens", "crc", "row"]  # the last two spread and order rows of one doc_id
+    ordered = table.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    manifest = written(ordered.mapInArrow(run, MANIFEST), "manifest")
+    dropped(table)
+    if own and total:
+        passing(spark, folder)
+    return manifest
 
 
 def read_documents(manifest: DataFrame, doc_kind: str = "bigint") -> DataFrame:

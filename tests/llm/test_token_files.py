@@ -51,3 +51,10 @@ def test_lost_attempts_do_no_harm(spark, odd_docs):
     token_files.write_tokens(odd_docs, folder)
     second = token_files.write_tokens(odd_docs, folder)
     assert token_files.read_documents(second).count() == odd_docs.count()
+
+
+def test_rows_of_one_doc_id_have_one_order(spark):
+    rows = [(1, "one two"), (1, "one"), (None, "three"), (1, "two"), (1, "one"), (0, None)] * 3
+    found = [token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect() for n in (1, 5)]
+    first, second = ([tuple(r) for r in sorted(x, key=lambda r: r.start)] for x in found)
+    assert first == second and [r[0] for r in first] == [None] * 3 + [0] * 3 + [1] * 12
