@@ -1,18 +1,23 @@
 """Mixture-controlled packing of documents into windows of equal length.
 
-Each source is a queue of tokens, and every window is filled from all queues by deficit round-robin: a queue's quantum
-is its target share of a window, it sends whole tokens only, and what it was short or over is carried to the next
-window. The carried deficit stays under one token, and it has a closed form: with queues in a fixed order, the first s
-queues together have sent floor(x * W_s / W) of the first x tokens, where W_s is the sum of their targets. So a
-partition can start at any window with the deficits that all windows before it leave, and no scan runs through the
-corpus. A queue that runs dry ends a phase; the targets of the others are scaled up and the round goes on.
+Each source is a queue of tokens, and every window is filled from the queues by deficit round-robin (`DeficitRound`). On
+its visit a queue's deficit counter grows by its quantum, its target share of a window; it sends whole tokens only, as
+many as its counter and the credit that the visits before it in the round left over allow, and what it is short or over
+stays in its counter for the next window. Counters stay within one token. `Schedule` gives the state of the counters at
+any window without running the rounds before it, so a partition starts where its documents lie, with the deficits that
+all windows before leave. A queue that runs dry ends a phase; the targets of the others are scaled up and the round goes on.
 
-By default the targets are the corpus's own proportions, so that all queues end together. Queues entitled to less than
-one token of a window share one queue, which bounds the number of queues, and all that is broadcast, by the window.
+Sources entitled to less than LEAST tokens of a window (at most length / LEAST are entitled to more) are served by a round
+of their own, which one queue stands for: there the packets are whole documents, and a source sends its next one when
+its deficit has grown to the document's size. That order is the order of `tokens so far / target`, had by a range sort, so
+any number of small sources keep their own targets, with nothing about them collected or broadcast.
+
+Without targets these are the corpus's own proportions, with which all queues end together; a temperature under 1 takes
+small sources oftener, by powers of their sizes.
 
 Defined results: a null text counts as empty (its document is its end token alone), a null source is a queue of its
-own; equal rows are packed each for itself; texts are packed whole at any length, cut where a window ends; an empty
-table gives no rows; other columns of the input are not read.
+own, apart from that of an empty name; equal rows are packed each for itself; texts are packed whole at any length, cut
+where a window ends; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +28,19 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalane.llm.common import text_slices, worker_state, written
+from stratalane.llm.common import text_slices, worker_state
 from stratalane.llm.tokens import SLICE, WordEncoder, default_tokenizer
+from stratalane.session import written
 
 LENGTH = 4096
 END = 2
+#: Tokens of a window from which on a source is a queue of its own.
+LEAST = 16
 SMALL = 100_000
+REST = "rest"
 
 
 def _scaled(x: np.ndarray, by: int, over: int) -> np.ndarray:
@@ -41,8 +50,31 @@ def _scaled(x: np.ndarray, by: int, over: int) -> np.ndarray:
     return x * by // over
 
 
+class DeficitRound:
+    """Deficit round-robin as it runs, a window at a time. Counters are in 1 / sum(weights) of a token."""
+
+    def __init__(self, weights: list[int], length: int = LENGTH):
+        self.unit, self.quantum = sum(weights), [w * length for w in weights]
+        self.deficit = [0] * len(weights)
+
+    def window(self) -> list[int]:
+        """The tokens that each queue sends to the next window."""
+        sent, credit = [], 0
+        for k, quantum in enumerate(self.quantum):
+            self.deficit[k] += quantum
+            credit += self.deficit[k]
+            sent.append(credit // self.unit)
+            self.deficit[k] -= sent[k] * self.unit
+            credit -= sent[k] * self.unit
+        return sent
+
+
 class Schedule:
-    """How many tokens each queue has sent when x tokens are out."""
+    """The state of a deficit round-robin over finite queues: what each has sent when x tokens are out.
+
+    In a phase, queues 0 to s have together sent floor(x * W_s / W), W_s the sum of their weights: so says DeficitRound,
+    as the credit that a visit leaves over is under one token. A queue's deficit is its entitlement less what it sent.
+    """
 
     def __init__(self, sizes: list[int], weights: list[int] | None = None, length: int = LENGTH):
         weights = list(sizes if weights is None else weights)
@@ -68,14 +100,16 @@ class Schedule:
         """For ascending x: tokens sent by `queue`, and by all queues before it."""
         own, before = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
         at = 0
-        for k, (first, sent, quota) in enumerate(self.phases):
+        k = max(bisect_right(self.firsts, int(x[0])) - 1, 0) if len(x) else 0
+        while at < len(x) and k < len(self.phases):
+            first, sent, quota = self.phases[k]
             stop = len(x) if k + 1 == len(self.phases) else int(np.searchsorted(x, self.firsts[k + 1]))
             if stop > at:
                 low, high, all_ = sum(quota[:queue]), sum(quota[: queue + 1]), sum(quota)
                 into = np.minimum(x[at:stop] - first, all_)
                 a, b = _scaled(into, low, all_), _scaled(into, high, all_)
                 own[at:stop], before[at:stop] = sent[queue] + b - a, sum(sent[:queue]) + a
-            at = max(at, stop)
+            at, k = max(at, stop), k + 1
         return own, before
 
     def windows(self, queue: int, low: int, high: int) -> np.ndarray:
@@ -116,35 +150,67 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> Da
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
+    # "=" before names keeps a null source, and the queue of small ones, apart from any of them.
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    rows = docs.select("doc_id", name.alias("source"), "text")
     return written(rows.mapInArrow(run, f"doc_id {kind}, source string, part int, local_start long, n_tokens long, ids binary"), "encoded")
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH) -> DataFrame:
+def _by_due(rows: DataFrame, due: Column) -> DataFrame:
+    """Rows of encoded() as one queue in the order of due, placed in parts anew."""
+
+    def run(batches):
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column("n_tokens").to_numpy()
+            starts = seen + np.cumsum(n) - n
+            seen += int(n.sum())
+            at = [batch.schema.get_field_index(c) for c in ("part", "local_start")]
+            batch = batch.set_column(at[0], "part", pa.array(np.full(len(n), part, dtype=np.int32))).set_column(at[1], "local_start", pa.array(starts))
+            yield batch
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = [c for c in rows.columns if c not in ("base", "target")]
+    keyed = rows.withColumn("__due", due).repartitionByRange(parts, "__due", "source", "local_start").sortWithinPartitions("__due", "source", "part", "local_start")
+    placed = keyed.select(own).withColumn("source", F.lit(REST))
+    return written(placed.mapInArrow(run, placed.schema), "rest")
+
+
+def packed(docs: DataFrame, tokenizer: str | None = None, weights: dict[str | None, float] | None = None, length: int = LENGTH, temperature: float = 1.0) -> DataFrame:
     """One row per piece: where it lies in its document (start, length) and in the packed corpus (sequence_id, offset).
 
-    weights: target shares by source; sources that it does not name go by their own sizes after those are scaled.
+    weights: target shares by source; others have their share of the corpus (to the power of temperature), and all are
+    scaled to one.
     """
     spark, table = docs.sparkSession, encoded(docs, tokenizer)
     by_part = written(table.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")), "parts")
     total = by_part.agg(F.sum("n").alias("t")).first().t or 0
-    # Sources under a token a window share the queue "" of the rest: at most `length` queues remain.
-    sizes = by_part.groupBy("source").agg(F.sum("n").alias("n"))
-    large = (F.col("n") * length >= total) if weights is None else (F.col("n") * length >= total) | F.col("source").isin(list(weights))
-    queues = sizes.where(large).orderBy("source").collect()
-    names = [r.source for r in queues]
-    rest = total - sum(r.n for r in queues)
+    target = F.pow(F.col("n") / F.lit(max(total, 1)), F.lit(temperature))
+    if weights:
+        given = F.create_map(*(F.lit(x) for k, v in weights.items() for x in ("" if k is None else f"={k}", float(v))))
+        target = F.coalesce(given[F.col("source")], target)
+    sizes = written(by_part.groupBy("source").agg(F.sum("n").alias("n")).withColumn("target", target), "sources")
+    whole = sizes.agg(F.sum("target").alias("t")).first().t or 1.0
+    large = F.col("target") * (length / LEAST) >= whole
+    queues = sizes.where(large).orderBy("source").collect()  # length / LEAST rows at most
+    names, amounts, shares = [r.source for r in queues], [r.n for r in queues], [r.target / whole for r in queues]
+    rest = total - sum(amounts)
     if rest:
-        names.append("\0rest")
-    amounts = [r.n for r in queues] + [rest] * bool(rest)
-    targets = None if weights is None else [max(1, round(1e6 * weights.get(n, a / max(total, 1)))) for n, a in zip(names, amounts)]
-    schedule = Schedule(amounts, targets, length)
+        before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        places = by_part.join(sizes.where(~large).select("source", "target"), "source").select("source", "part", "target", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        middle = F.col("base") + F.col("local_start") + F.col("n_tokens") / 2
+        small = _by_due(table.join(places, ["source", "part"]), middle / F.col("target"))
+        # First in the round, as its quantum may be under a token, which would disturb queues behind it otherwise.
+        names, amounts, shares = [REST, *names], [rest, *amounts], [1 - sum(shares), *shares]
+        table = table.join(F.broadcast(sizes.where(large).select("source")), "source", "left_semi").select(small.columns).unionByName(small)
+        by_part = table.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
+    schedule = Schedule(amounts, amounts if temperature == 1 and not weights else [max(1, round(x * (1 << 30))) for x in shares], length)
     listed = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "source string, queue int")
-    queue = by_part.join(F.broadcast(listed), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names) - 1)))
-    before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = queue.select("source", "part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # One row a source and part of the input; beyond SMALL of them, both sides are shuffled instead.
-    if by_part.count() <= SMALL:
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_part.join(F.broadcast(listed), "source").select("source", "part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # One row a queue and part of the input; beyond SMALL of them, both sides are shuffled instead.
+    offsets = written(offsets, "offsets")
+    if offsets.count() <= SMALL:
         offsets = F.broadcast(offsets)
     placed = table.join(offsets, ["source", "part"]).select("doc_id", "queue", (F.col("base") + F.col("local_start")).alias("at"), "n_tokens", "ids")
 

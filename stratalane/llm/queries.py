@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from stratalane.llm import ann, langid, packing, pii, quality, simhash, token_files, trie_counts, viterbi, warc
 from stratalane.session import load
 
+#: Sources are mixed by this power of their sizes.
+MIXTURE = 0.7
+
 
 def op1_language_id(spark, sf_dir):
     return langid.predictions(load(spark, sf_dir, "documents"))
@@ -42,7 +45,7 @@ def op8_pii_spans(spark, sf_dir):
 
 
 def op9_mixture_packing(spark, sf_dir):
-    return packing.packed(load(spark, sf_dir, "documents"))
+    return packing.packed(load(spark, sf_dir, "documents"), temperature=MIXTURE)
 
 
 def op10_token_files(spark, sf_dir):

@@ -80,6 +80,48 @@ def test_given_weights_hold_until_a_queue_is_dry(spark):
     assert {r.queue for r in sequences[len(sequences) - 1]} == {1}
 
 
+@pytest.mark.parametrize("weights", [[300, 17, 1200, 64], [5, 999, 16, 16, 16], [1, 4000, 95], [1]])
+def test_schedule_is_deficit_round_robin(weights):
+    """A partition may start at any window with the counters that the rounds before it leave."""
+    length, rounds = 1 << 7, 400
+    scale = length * rounds
+    plan = packing.Schedule([w * scale for w in weights], None, length)
+    round_, sent = packing.DeficitRound(weights, length), np.zeros(len(weights), dtype=np.int64)
+    for k in range(1, rounds + 1):
+        now = round_.window()
+        assert sum(now) == length and min(now) >= 0
+        sent += now
+        at = np.array([k * length])
+        assert sent.tolist() == [int(plan.sent(q, at)[0][0]) for q in range(len(weights))]
+        # The counters are entitlement less what was sent, and within one token.
+        owed = [k * length * w - int(s) * sum(weights) for w, s in zip(weights, sent)]
+        assert owed == round_.deficit and max(map(abs, owed)) < sum(weights)
+
+
+def test_small_sources_keep_their_targets(spark):
+    rows = [(i, "one two three", "large") for i in range(3000)] + [(3000 + i, "one two", f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sequences = checked(docs, 256)
+    small = sorted(r.sequence_id for pieces in sequences.values() for r in pieces if r.doc_id >= 3000)
+    assert len(set(small)) >= 40  # 180 of 12,180 tokens: all the way through, not at one end
+    for k in range(3):
+        at = sorted(r.sequence_id for pieces in sequences.values() for r in pieces if r.doc_id >= 3000 and r.doc_id % 3 == k)
+        assert at[0] < 6 and at[-1] > len(sequences) - 7
+
+
+def test_temperature_raises_small_sources(spark):
+    rows = [(i, "word " * 99, "a" if i < 10 else "b") for i in range(100)]
+    sequences = checked(spark.createDataFrame(rows, "doc_id long, text string, source string"), 100, temperature=0.5)
+    assert abs(sum(r.length for r in sequences[0] if r.queue == 0) - 25) <= 1
+
+
+def test_null_and_empty_source_are_two_queues(spark):
+    rows = [(i, "word " * 99, (None, "")[i % 2]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert len({r.queue for pieces in checked(docs, 100).values() for r in pieces}) == 2
+    checked(docs, 100, weights={None: 0.9, "": 0.1})
+
+
 def test_schedule_step_by_step():
     for sizes, weights in (([7, 100, 31], None), ([50, 3, 20], [1, 5, 2]), ([1], None)):
         plan = packing.Schedule(sizes, weights, 8)
