@@ -5,11 +5,15 @@ model has the n-grams it saw, with their interpolated probability worked out, an
 All languages share one sorted array of 64-bit n-gram hashes an order, with one column of values a language (NaN where
 a language has not seen the n-gram), so that one binary search serves all of them. A text goes to the language of least
 cross-entropy per character. Cross-entropies of labelled texts that the models have not seen set a temperature, which
-turns differences into the score, and for each language a limit beyond which a text is rejected as none of them.
+turns differences into the score, and when a text is rejected as none of the languages: its cross-entropy is measured
+from the language's median, in units of the language's own spread for a text of that length, and rejected beyond what a
+share FALSE_REJECTION of all calibration texts exceed. As that cut is taken over all languages together, one odd or
+mislabelled text can't move it for its language.
 
-Learning takes at most TRAIN_ROWS texts a language of at most TRAIN_CHARS characters each, picked by the hash of their
-doc_id; the same number again is picked for calibration. That bound holds at any size of the corpus. Prediction reads
-every whole text. Distinct words are scored once per batch and remembered by a worker, up to MAX_WORDS of them.
+Learning takes at most TRAIN_ROWS passages a language of at most TRAIN_CHARS characters each (less where there are so many
+languages that all of them would hold more than SAMPLE_CHARS), and as many again for calibration. Texts are cut into such
+passages, and these are picked by hash, so any part of any text may be learned from. These bounds hold at any size of the
+corpus. Prediction reads every whole text. Distinct words are scored once per batch and remembered by a worker, up to MAX_WORDS of them.
 
 Defined results: a null text or one without letters is `und` with score 0; texts of any length are read whole; equal
 rows get equal rows; ties between languages go to the first by name; without any labelled text all is `und`; an empty
@@ -30,8 +34,11 @@ from stratalane.llm.common import shipped, text_slices, totals, words_of
 
 ORDER = 5
 TRAIN_ROWS = 400
-TRAIN_CHARS = 20_000
-CALIBRATION_ROWS = 400
+TRAIN_CHARS = 8_000
+SAMPLE_CHARS = 64_000_000
+FALSE_REJECTION = 0.002
+#: The variance of a text's cross-entropy is taken to be in proportion to 1 / characters + 1 / LENGTH_SCALE.
+LENGTH_SCALE = 300
 MAX_WORDS = 250_000
 UND = "und"
 PUNCTUATION = ".,;:!?\"'()[]{}|$%&*#<>-+=/\\_@~^`0123456789"
@@ -111,7 +118,8 @@ class Identifier:
         self.grams = [merge([m.grams[k] for m in every]) for k in range(self.order)]
         self.contexts = [merge([m.contexts[k] for m in every]) for k in range(self.order)]
         self.unseen = np.array([m.unseen for m in every], dtype=np.float32)
-        self.temperature, self.limits = 1.0, np.full(len(every), np.inf)
+        self.temperature, self.cut = 1.0, np.inf
+        self.centre, self.spread = np.zeros(len(every)), np.ones(len(every))
 
     @staticmethod
     def _spread(keys: np.ndarray, parts) -> np.ndarray:
@@ -161,7 +169,7 @@ class Identifier:
         return -total / np.maximum(n, 1)[:, None], n
 
     def calibrate(self, text: pa.Array, labels: list[str]) -> None:
-        """Sets the temperature of least log-loss and each language's limit, from texts not learned from."""
+        """Sets the temperature of least log-loss and when to reject, from texts not learned from."""
         h, n = self.cross_entropies(text)
         truth = np.array([self.languages.index(x) for x in labels], dtype=np.int64)
         ok = n > 0
@@ -170,10 +178,17 @@ class Identifier:
             return
         losses = {t: -np.log(np.maximum(_softmax(h, n, t)[np.arange(len(h)), truth], 1e-12)).mean() for t in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)}
         self.temperature = min(losses, key=lambda t: (losses[t], t))
-        for i in range(len(self.languages)):
-            own = h[truth == i, i]
-            if len(own):  # far beyond what any text of the language needs, and short of what no language explains
-                self.limits[i] = max(float(own.max()), float(np.median(own)) * 1.25) * 1.25
+        own = h[np.arange(len(h)), truth]
+        scale = np.sqrt(1 / n + 1 / LENGTH_SCALE)
+        for i in np.unique(truth):
+            mine = truth == i
+            self.centre[i] = np.median(own[mine])
+            self.spread[i] = max(1.4826 * np.median(np.abs(own[mine] - self.centre[i]) / scale[mine]), 0.05)
+        self.cut = float(np.quantile(self._excess(own, n, truth), 1 - FALSE_REJECTION, method="higher"))
+
+    def _excess(self, h: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How far a cross-entropy lies above what language `of` has, in spreads for a text of n characters."""
+        return (h - self.centre[of]) / (self.spread[of] * np.sqrt(1 / np.maximum(n, 1) + 1 / LENGTH_SCALE))
 
     def predict(self, text: pa.Array, kept: "WordScores | None" = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Per text: language, score, nats per character, and whether it is rejected."""
@@ -185,7 +200,7 @@ class Identifier:
         some = n > 0
         score = np.where(some, np.clip(_softmax(h, n, self.temperature)[rows, best], 0, 1), 0.0)
         least = h[rows, best]
-        return [self.languages[i] if s else UND for i, s in zip(best, some)], score, least, ~some | (least > self.limits[best])
+        return [self.languages[i] if s else UND for i, s in zip(best, some)], score, least, ~some | (self._excess(least, n, best) > self.cut)
 
 
 def _softmax(h: np.ndarray, n: np.ndarray, t: float) -> np.ndarray:
@@ -238,16 +253,19 @@ def train(rows: list[tuple[str, str]], held: list[tuple[str, str]] = (), order:
 
 def fitted(docs: DataFrame, usable: Column | None = None) -> Identifier:
     """An identifier learned from the labelled rows of docs (text, lang, doc_id) that are usable."""
-    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    rows = docs.where("lang IS NOT NULL AND text <> ''")
     rows = rows if usable is None else rows.where(usable)
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    # A share of the hash range stands for a number of rows; the limit by language is what bounds the sample for sure.
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30))
-    wanted = TRAIN_ROWS + CALIBRATION_ROWS
-    cut = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, wanted / n) * (1 << 30)))))) if counts else None
-    if cut is None:
+    passages = F.ceil(F.length("text") / TRAIN_CHARS)
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(passages).alias("n")).collect()}
+    if not counts:
         return train([])
-    picked = rows.where(place < cut[F.col("lang")]).select("text", "lang", place.alias("place"))
+    wanted = 2 * max(10, min(TRAIN_ROWS, SAMPLE_CHARS // (2 * TRAIN_CHARS * len(counts))))
+    # A share of the hash range stands for a number of passages; the limit is what bounds the sample for sure.
+    place = lambda i: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), i, F.lit("langid")), F.lit(1 << 30))
+    cut = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, wanted / n) * (1 << 30))))))[F.col("lang")]
+    listed = F.filter(F.sequence(F.lit(0), passages.cast("int") - 1), lambda i: place(i) < cut)
+    picked = rows.select("text", "lang", "doc_id", F.explode(listed).alias("i"))
+    picked = picked.select(F.substring(F.col("text"), F.col("i") * TRAIN_CHARS + 1, F.lit(TRAIN_CHARS)).alias("text"), "lang", place(F.col("i")).alias("place"))
     sample = sorted(picked.limit(2 * wanted * len(counts)).collect(), key=lambda r: (r.lang, r.place, r.text))
     learn, held, taken = [], [], {}
     for r in sample:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pyarrow as pa
@@ -80,3 +81,28 @@ def test_odd_and_empty(spark, odd_docs, no_docs):
     assert all(r.lang_pred == "und" for r in langid.predictions(odd_docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect())
     kept = langid.keep_identified(odd_docs)
     assert kept.columns == odd_docs.columns and {0, 1, 2}.isdisjoint(r.doc_id for r in kept.collect())
+
+
+def test_false_rejections_are_few_and_foreign_texts_are_caught(spark):
+    """A left-out language is foreign to the models of the others."""
+    docs = load(spark, "/root/testdata/sf0.1", "documents")
+    rows = langid.predictions(docs).select("rejected").collect()
+    assert sum(r.rejected for r in rows) <= 3 * langid.FALSE_REJECTION * len(rows)
+    for lang in ("de", "en", "es", "fr"):
+        made = langid.fitted(docs.where(f"lang <> '{lang}'"))
+        found = langid.identified(docs.where(f"lang = '{lang}'"), made).select("rejected").collect()
+        assert sum(r.rejected for r in found) >= 0.8 * len(found), lang
+
+
+def test_one_odd_text_does_not_switch_rejection_off():
+    rng = random.Random(3)
+    words = {"en": "the cat sat on mat and dog ran to house".split(), "fr": "le chat est sur la table et chien dans maison".split()}
+    learn = [(" ".join(rng.choices(words[lang], k=rng.randrange(4, 30))), lang) for lang in ("en", "fr") for _ in range(400)]
+    made = langid.train(learn, [*learn, ("жщюъ эыф шчэ", "en")])
+    assert made.predict(pa.array(["жщюъ эыф шчэ", "the dog sat on the mat"], type=pa.large_string()))[3].tolist() == [True, False]
+
+
+def test_long_texts_are_learned_from(spark):
+    rows = [(i, "plain words of english prose in the house " * 5, "en") for i in range(20)] + [(100 + i, "langer satz auf deutsch mit vielen worten " * 600, "long") for i in range(3)]
+    made = langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert made.languages == ["en", "long"]
