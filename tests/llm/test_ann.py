@@ -56,3 +56,28 @@ def test_few_rows_and_none(spark):
     assert got(ann.nearest(table, F.col("vec_id") % 20 == 0)) == {0: [(2, 2.0), (1, 0.5)]}
     assert ann.nearest(table.where("vec_id > 5"), F.col("vec_id") % 20 == 0).collect() == []
     assert ann.nearest(table.where("vec_id = 0"), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_doubles_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(80)] + [(100 + i, [float(x) for x in rng.normal(size=3)]) for i in range(41)]
+    rows += [(7, [5.0] * 6), (7, [-5.0] * 6), (40, [3.0, 2.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = got(ann.nearest(table, F.col("vec_id") % 20 == 0, recall=1.0))
+    for q, near in found.items():
+        asks = min(v for i, v in rows if i == q)
+        best = {}
+        for i, v in rows:
+            if i != q and len(v) == len(asks):
+                best[i] = max(best.get(i, -np.inf), float((np.array(v) * np.array(asks)).sum()))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        assert [v for v, _ in near] == [v for v, _ in want] and np.allclose([s for _, s in near], [s for _, s in want])
+    assert set(found) == {0, 20, 40, 60, 100, 120, 140}
+
+
+def test_small_leaves_still_give_whole_answers(spark):
+    """Tight clusters, one of them tiny: its query has to look beyond its own leaf."""
+    rng = np.random.default_rng(6)
+    rows = [(i + 1, [float(x) for x in np.eye(8)[i % 7] * 10 + rng.normal(size=8) / 100]) for i in range(1400)] + [(2000, [float(x) for x in np.eye(8)[7] * 10])]
+    found = got(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0))
+    assert all(len(near) == 20 for near in found.values()) and 2000 in found
