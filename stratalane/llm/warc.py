@@ -5,26 +5,29 @@ captured before it gives the body, if the validators agree (entity tags compared
 the dates of last modification; a revisit with neither is taken on trust). The headers of the result are the response's,
 overlaid with those that a 304 may renew.
 
-The as-of join carries validators and headers only, never bodies. Rows of one URL are cut into SLICES stretches of time,
-each a window of its own, and what is the latest response at the end of a stretch is carried to those after it by a
-table with one row a URL and stretch. So a URL with a third of all captures is dealt to many tasks.
-
-Defined results: null URLs are one canonical URL of their own, the empty one; records without a time never match and
-count as unresolved; of responses at one time the one of the greatest record_id is the latest; equal rows get equal
-rows; a map of headers that is null counts as empty, and header names compare in lower case; an empty table gives an
-empty result; further columns of the input are not read.
+The as-of join carries validators and headers only, never bodies. Rows of one URL are cut into SLICES stretches of time of
+about equal numbers of captures, each a window of its own. What is the latest response before a stretch comes from a table
+with one row a URL and stretch that holds captures, so nothing is carried to stretches without any. So a URL with a
+third of all captures is dealt to many tasks, whatever dates stray far from the others.
+
+Defined results: null URLs are one canonical URL of their own, the empty one; records without a time, or with a date that
+can't be read, never match and count as unresolved; times count to the microsecond; of responses at one time the one of
+the greatest record_id is the latest; equal rows get equal rows; a map of headers that is null counts as empty, header
+names compare in lower case, and the values of names that differ in case alone are joined by commas, in order of these names; an empty table gives
+an empty result; further columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, IntegralType, StringType
 
-SLICES = 64
+SLICES = 128
 #: What a 304 may renew in the stored response.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = "^(utm_[a-z]*|ref|fbclid|gclid)(=|$)"
@@ -45,27 +48,44 @@ def _tag(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def _instant(records: DataFrame, name: str) -> Column:
+    """Microseconds of a timestamp, a date string or fractional seconds; whole numbers are ticks of their own."""
+    kind = records.schema[name].dataType
+    if isinstance(kind, IntegralType):
+        return F.col(name).cast("long")
+    if isinstance(kind, FractionalType):
+        return (F.col(name) * 1_000_000).cast("long")
+    return F.unix_micros(F.expr(f"try_cast(`{name}` AS timestamp)") if isinstance(kind, StringType) else F.col(name).cast("timestamp"))
+
+
+def _lowered(headers: Column) -> Column:
+    entries = F.array_sort(F.map_entries(headers))
+    of = lambda k: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == k), lambda e: e["value"]), ", ")
+    names = F.array_distinct(F.transform(F.map_keys(headers), F.lower))
+    return F.coalesce(F.map_from_arrays(names, F.transform(names, of)), F.create_map().cast("map<string,string>"))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """One row a revisit of records (record_id, url, captured_at, status, etag, last_modified, headers).
 
     Returns record_id, canonical_url, response_id (null unless resolved), verdict and the merged headers.
     """
     rows = records.select(
-        "record_id", canonical(F.col("url")).alias("u"), F.col("captured_at").cast("long").alias("t"), (F.col("status") == 304).alias("revisit"),
-        "etag", "last_modified", F.coalesce(F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"]))), F.create_map().cast("map<string,string>")).alias("headers"), "status",
+        "record_id", canonical(F.col("url")).alias("u"), _instant(records, "captured_at").alias("t"), (F.col("status") == 304).alias("revisit"),
+        "etag", "last_modified", _lowered(F.col("headers")).alias("headers"), "status",
     ).where("revisit OR status BETWEEN 200 AND 299")
-    ends = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
-    low, width = (ends.a or 0), ((ends.b or 0) - (ends.a or 0)) // SLICES + 1
-    rows = rows.withColumn("slice", F.coalesce(F.floor((F.col("t") - low) / width), F.lit(-1)))
+    cuts = rows.agg(F.percentile_approx("t", [k / SLICES for k in range(1, SLICES)], 10 * SLICES).alias("cuts")).first().cuts or []
+    cuts = sorted(set(cuts))
+    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
+    rows = rows.withColumn("slice", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("t"))), F.lit(-1)))
     full = F.when(~F.col("revisit") & F.col("t").isNotNull(), F.struct("t", "record_id", "etag", "last_modified", "headers"))
     rows = rows.withColumn("full", full)
     # Rows of one time see only earlier times; within a window the frame is by time, not by row.
     here = Window.partitionBy("u", "slice").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     order = F.struct(F.col("full.t"), F.col("full.record_id"))
-    ended = rows.where("full IS NOT NULL").groupBy("u", "slice").agg(F.max_by("full", order).alias("full"))
-    later = ended.withColumn("next", F.lead("slice").over(Window.partitionBy("u").orderBy("slice")))
-    # What a stretch ends with holds for those after it up to the next one with a response of its own.
-    carried = later.select("u", F.explode(F.sequence(F.col("slice") + 1, F.least(F.coalesce(F.col("next"), F.lit(SLICES)), F.lit(SLICES)))).alias("slice"), F.col("full").alias("carried")).where(F.col("slice") <= SLICES)
+    ended = rows.groupBy("u", "slice").agg(F.max_by("full", F.when(F.col("full").isNotNull(), order)).alias("full"), F.max("revisit").alias("asked"))
+    sooner = Window.partitionBy("u").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ended.select("u", "slice", "asked", F.last("full", ignorenulls=True).over(sooner).alias("carried")).where("asked AND carried IS NOT NULL").drop("asked")
     seen = rows.withColumn("found", F.max(F.when(F.col("full").isNotNull(), F.struct(F.col("full.t"), F.col("full.record_id"), F.col("full.etag"), F.col("full.last_modified"), F.map_entries("full.headers").alias("headers")))).over(here))
     out = seen.where("revisit").join(carried, ["u", "slice"], "left")
     pick = lambda name: F.coalesce(F.col(f"found.{name}"), F.col(f"carried.{name}"))
@@ -128,17 +148,45 @@ FROM j
 """
 
 
+def exchanges(read: DataFrame) -> DataFrame:
+    """What read_warc gives as records for resolve(): responses and revisits with their validators."""
+    h = _lowered(F.col("http_headers"))
+    return read.where("warc_type IN ('response', 'revisit')").select(
+        F.col("record_uri").alias("record_id"), F.col("target_uri").alias("url"), F.col("warc_date").alias("captured_at"), F.col("http_status").alias("status"),
+        h["etag"].alias("etag"), h["last-modified"].alias("last_modified"), h.alias("headers"),
+    )
+
+
+def _inflated(data: bytes) -> bytes:
+    """The members of a gzip file in a row; of a broken one what can be had, and nothing behind it."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes, plain or in gzip members; what breaks off in a record ends the file."""
+    """The records of a WARC file's bytes, plain or in gzip members.
+
+    A record that breaks off, in the file or in its member, ends the file; one whose length can't be read is passed over.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _inflated(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        fields = dict(_fields(data[at:end]))
-        size = int(fields.get("content-length", 0))
+        fields = _fields(data[at:end])
+        if not (said := fields.get("content-length", "0")).isascii() or not said.isdigit():
+            at = end + 4
+            continue
+        size = int(said)
         block = data[end + 4 : end + 4 + size]
         if len(block) < size:
             return
@@ -146,8 +194,8 @@ def parse(data: bytes) -> Iterator[dict]:
         if fields.get("content-type", "").startswith("application/http"):
             head, _, payload = block.partition(b"\r\n\r\n")
             first = head.split(b"\r\n", 1)[0].split()
-            status = int(first[1]) if len(first) > 1 and first[1].isdigit() else None
-            headers = list(dict(_fields(head)).items())
+            status = int(first[1]) if len(first) > 1 and first[1].isdigit() and len(first[1]) < 6 else None
+            headers = list(_fields(head).items())
         yield {
             "warc_type": fields.get("warc-type"), "record_uri": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "warc_date": fields.get("warc-date"),
             "refers_to": fields.get("warc-refers-to"), "http_status": status, "http_headers": headers, "payload": payload,
@@ -155,11 +203,15 @@ def parse(data: bytes) -> Iterator[dict]:
         at = end + 4 + size
 
 
-def _fields(head: bytes) -> Iterator[tuple[str, str]]:
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by name in lower case; the values of a repeated name are joined by commas."""
+    out: dict[str, str] = {}
     for line in head.split(b"\r\n")[1:]:
         name, mark, value = line.partition(b":")
         if mark:
-            yield name.decode("utf-8", "replace").strip().lower(), value.decode("utf-8", "replace").strip()
+            key, value = name.decode("utf-8", "replace").strip().lower(), value.decode("utf-8", "replace").strip()
+            out[key] = f"{out[key]}, {value}" if key in out else value
+    return out
 
 
 def record_bytes(warc_type: str, record_uri: str, target_uri: str, date: str, status: str, headers: dict[str, str], payload: bytes, refers_to: str | None = None) -> bytes:

@@ -67,3 +67,35 @@ def test_warc_files(spark, tmp_path):
     assert sorted(r.http_status for r in rows) == [200, 200, 200, 304, 304]
     assert {bytes(r.payload) for r in rows if r.http_status == 200} == {b"body\r\n\r\nWARC/ inside"}
     assert {r.refers_to for r in rows if r.warc_type == "revisit"} == {"<urn:1>"} and rows[0].http_headers == {"etag": '"x"'}
+
+
+def test_from_files_to_verdicts(spark, tmp_path):
+    """Captures half a second apart, repeated header names, a broken member and a length that is no number."""
+    import gzip
+
+    made = lambda kind, n, date, status, headers: warc.record_bytes(kind, f"<urn:{n}>", "http://www.a.org/p", date, status, headers, b"body" if kind == "response" else b"")
+    first = made("response", 1, "2024-01-01T00:00:00.000Z", "200 OK", {"ETag": '"x"', "Vary": "a", "vary": "b", "X-One": "1"})
+    again = made("revisit", 2, "2024-01-01T00:00:00.500Z", "304 Not Modified", {"ETag": 'W/"x"', "Date": "later"})
+    other = made("revisit", 3, "2024-01-01T00:00:01Z", "304 Not Modified", {"ETag": '"y"'})
+    early = made("revisit", 4, "2023-01-01T00:00:00Z", "304 Not Modified", {})
+    undated = made("revisit", 5, "no date", "304 Not Modified", {})
+    odd = made("response", 6, "2024-01-01T00:00:00.100Z", "200 OK", {}).replace(b"Content-Length: ", b"Content-Length: x")
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, (first, again, other))) + gzip.compress(early)[:-30])
+    (tmp_path / "b.warc").write_bytes(odd + early + undated)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(first)[:40])
+    found = {r.record_id: (r.response_id, r.verdict, r.headers) for r in warc.resolve(warc.exchanges(warc.read_warc(spark, str(tmp_path)))).collect()}
+    assert found == {
+        "<urn:2>": ("<urn:1>", "resolved", {"etag": 'W/"x"', "vary": "a, b", "x-one": "1", "date": "later"}),
+        "<urn:3>": (None, "validator_mismatch", None), "<urn:4>": (None, "no_earlier_response", None), "<urn:5>": (None, "no_earlier_response", None),
+    }
+
+
+def test_header_names_that_differ_in_case(spark):
+    rows = [(1, "a.org", 1, 200, None, None, {"X": "1", "x": "2"}), (2, "a.org", 2, 304, None, None, {"ETAG": "a", "etag": "b"}), (3, "a.org", 10**15, 304, None, None, None)]
+    found = {r.record_id: r.headers for r in warc.resolve(spark.createDataFrame([(*r, "e", 1) for r in rows], SCHEMA)).collect()}
+    assert found == {2: {"x": "1, 2", "etag": "a, b"}, 3: {"x": "1, 2"}}
+
+
+def test_nothing_is_carried_to_empty_stretches(spark):
+    plan = warc.resolve(warc.captures(load(spark, "/root/testdata/sf0.001", "pages")))._jdf.queryExecution().toString()
+    assert "Generate explode" not in plan
