@@ -1,9 +1,16 @@
 """Personal data: base patterns over the source text, and disguised identifiers found through offset-preserving maps.
 
-A transducer rewrites a text to a normal form in which look-alike letters and digits, spelled-out digits and "at"/"dot"
-disguises are plain, and keeps for each character of the normal form the source span it came from. The same patterns
-run over the normal form, and what they find is mapped back to source offsets. Spans that the base patterns found stay
-as they are; a disguised one is added unless a single span holds it whole, as a base span can be a fragment of it.
+A cascade of transducers rewrites a text to normal forms: look-alike letters and digits, unseen characters, spelled-out
+digits, letters among digits and "at"/"dot" disguises become plain. A transducer is an automaton (a compiled pattern) that
+reads its text once, and a rule for what it writes in place of each stretch it accepts. What it leaves behind is a list
+of these stretches, so a map back to the source takes memory by disguises, not by characters; maps are followed from the
+last transducer to the first. The base patterns run over the normal forms, and what they find is mapped back to
+source offsets. Spans that the base patterns found stay as they are; a disguised one is added unless a single span holds
+it whole, as a base span can be a fragment of it.
+
+A bare "at" is a disguise before a domain with a worded or bracketed "dot". Before a plain domain, as in "look at
+example.com", it is one only if the name before it holds a mark or digit, if a word for mail stands shortly before it, or
+if the line holds nothing else.
 
 Defined results: a null text counts as empty and has no spans; texts are scanned whole at any length; equal rows give
 equal rows; an empty table gives an empty result; the other columns of the input are not read.
@@ -13,6 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -87,7 +97,10 @@ def _homoglyphs() -> dict[str, str]:
 
 HOMOGLYPHS = _homoglyphs()
 _STRANGE = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "]")
+_ALIKE = str.maketrans({k: v for k, v in HOMOGLYPHS.items() if v})
+_UNSEEN = re.compile("[" + "".join(k for k, v in HOMOGLYPHS.items() if not v) + "]+")
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+_DIGIT_NAMES = [n for n in _NAMES if n != "oh"]
 _NAME = "(?:" + "|".join(_NAMES) + ")"
 #: Runs of at least seven spelled digits; "plus" before them stands for +.
 _SPELLED = re.compile(rf"(?:\bplus[\s,-]+)?\b{_NAME}(?:[\s,.-]+{_NAME})" r"{6,}\b", re.I)
@@ -99,38 +112,88 @@ _GROUP_ITEM = re.compile(rf"\bplus\b|\b{_NAME}\b|[0-9]+", re.I)
 _APART = re.compile(r"[\s,-]+")
 _AT = rf"(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:at|@)\s{{0,3}}[\])}}>]\s{{0,3}}|\s+(?:at|@)\s+|\s{{0,3}}@\s{{0,3}})"
 _DOT = rf"(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
-_DISGUISED_MARK = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s|\s@|@\s", re.I)
+_WORDED_DOT = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s+dot\s+"
+_NAME_PART = r"[A-Za-z0-9._%+-]+"
+_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME_PART}(?:(?:{_WORDED_DOT}){_NAME_PART}){{0,3}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+_DISGUISED_MARK = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|\sdot\s|\s@|@\s|\sat\s+[a-z0-9-]+\.[a-z]", re.I)
 _DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_AT_ONLY, _DOT_ONLY = re.compile(rf"{_AT}", re.I), re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s+dot\s+", re.I)
+_AT_ONLY, _DOT_ONLY = re.compile(_AT, re.I), re.compile(_WORDED_DOT, re.I)
+_MAIL_WORD = re.compile(r"\b(?:e-?mails?|mail|write|contact|reach|address)\b[^\n]{0,24}$", re.I)
+#: Numbers in which letters stand for 1 and 0: groups of digits and such letters, apart from other letters.
+_LETTERED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9lIOo]+(?:[ .()-]{1,2}[0-9lIOo]+)*+(?![A-Za-z0-9])")
+_LETTERED_MARK = re.compile(r"[0-9][lIOo]|[lIOo][0-9]|[0-9][ .-][lIOo]{1,4}[ .-][0-9]")
+_LETTER_DIGITS = str.maketrans("lIOo", "1100")
+
+Edit = tuple[int, int, str]
+
+
+class Stretches:
+    """Where the stretches that one transducer rewrote lie, before and after: its text's offsets to those of the text read."""
+
+    def __init__(self, edits: Iterable[Edit]):
+        self.read_start, self.read_end, self.start, self.end = (array("q") for _ in range(4))
+        shift = 0
+        for s, e, new in edits:
+            self.read_start.append(s)
+            self.read_end.append(e)
+            self.start.append(s + shift)
+            self.end.append(s + shift + len(new))
+            shift += len(new) - (e - s)
+
+    def read(self, at: int) -> tuple[int, int]:
+        """The stretch of the text read that the character written at `at` stands for."""
+        k = bisect_right(self.start, at) - 1
+        while k >= 0 and self.start[k] == self.end[k] and at < self.end[k]:
+            k -= 1
+        if k < 0:
+            return at, at + 1
+        if at < self.end[k]:
+            return self.read_start[k], self.read_end[k]
+        return at - self.end[k] + self.read_end[k], at - self.end[k] + self.read_end[k] + 1
 
 
 class Normal:
-    """A normal form and, for each of its characters, where it begins and ends in the source."""
+    """What a cascade of transducers has written so far, and the maps back to its source."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, None, None
+        self.text, self.maps = text, []
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
+    def through(self, edits: list[Edit]) -> Normal:
         """Replaces stretches (start, end, new), in order and apart; each new character stands for its whole stretch."""
-        if not edits:
-            return
-        if self.starts is None:
-            self.starts, self.ends = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-        out, starts, ends, at = [], [], [], 0
-        for s, e, new in edits:
-            out += (self.text[at:s], new)
-            starts += self.starts[at:s] + [self.starts[s]] * len(new)
-            ends += self.ends[at:s] + [self.ends[e - 1]] * len(new)
-            at = e
-        self.text, self.starts, self.ends = "".join([*out, self.text[at:]]), starts + self.starts[at:], ends + self.ends[at:]
+        if edits:
+            out, at = [], 0
+            for s, e, new in edits:
+                out += (self.text[at:s], new)
+                at = e
+            self.text = "".join([*out, self.text[at:]])
+            self.maps.append(Stretches(edits))
+        return self
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
+        last = end - 1
+        first, stop = start, end
+        for stretches in reversed(self.maps):
+            first, stop = stretches.read(first)[0], stretches.read(last)[1]
+            last = stop - 1
+        return first, stop
+
+
+def seen(text: str) -> Normal:
+    """Look-alikes become what they look like, one for one; unseen characters go."""
+    return Normal(text.translate(_ALIKE)).through([(m.start(), m.end(), "") for m in _UNSEEN.finditer(text)])
 
 
-def _grouped(text: str) -> list[tuple[int, int, str]]:
-    """Edits that make every spelled digit of a group plain, in runs of any length and next to plain digits."""
+def spelled_runs(text: str) -> list[Edit]:
+    """Digits for long runs of spelled ones; each stands for its own word, separators go with the word before them."""
+    edits = []
+    for run in _SPELLED.finditer(text):
+        items = list(_SPELLED_ITEM.finditer(text, run.start(), run.end()))
+        edits += [(m.start(), n.start() if n else run.end(), _NAMES.get(m[0].lower(), "+")) for m, n in zip(items, [*items[1:], None])]
+    return edits
+
+
+def spelled_groups(text: str) -> list[Edit]:
+    """Digits for every spelled digit of a group, in runs of any length and next to plain digits."""
     edits = []
     for group in _GROUP.finditer(text):
         items = [m for m in _GROUP_ITEM.finditer(text, group.start(), group.end()) if m[0][0].isdigit() or m[0].lower() == "plus" or m[0].lower() in _NAMES]
@@ -143,60 +206,82 @@ def _grouped(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def normalised(text: str, grouped: bool = False) -> Normal | None:
-    """The normal form of a text, or None where nothing in it is disguised.
-
-    With grouped, spelled digits of any run length are plain in it, not those of long runs only; None without such.
-    """
-    if grouped:
-        normal = Normal(text)
-        normal.rewrite([(m.start(), m.end(), HOMOGLYPHS[m[0]]) for m in _STRANGE.finditer(text)])
-        edits = _grouped(normal.text)
-        normal.rewrite(edits)
-        return _undotted(normal) if edits else None
-    strange, low = _STRANGE.search(text), text.lower()
-    spelled = sum(map(low.count, ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))) >= 5 and _SPELLED.search(low if len(low) == len(text) else text)
-    marked = _DISGUISED_MARK.search(text)
-    if not (strange or spelled or marked):
-        return None
-    normal = Normal(text)
-    if strange:
-        normal.rewrite([(m.start(), m.end(), HOMOGLYPHS[m[0]]) for m in _STRANGE.finditer(text)])
+def lettered_digits(text: str) -> list[Edit]:
+    """Digits for l, I, O and o within numbers that hold more digits than such letters."""
     edits = []
-    for run in _SPELLED.finditer(normal.text):
-        items = list(_SPELLED_ITEM.finditer(normal.text, run.start(), run.end()))
-        new = "".join("+" if m[0].lower() == "plus" else _NAMES[m[0].lower()] for m in items)
-        # Each digit stands for its own word, the separators go with the word before them.
-        edits += [(m.start(), n.start() if n else run.end(), x) for m, n, x in zip(items, [*items[1:], None], new)]
-    normal.rewrite(edits)
-    return _undotted(normal)
+    for m in _LETTERED.finditer(text):
+        plain = sum(map(str.isdigit, m[0]))
+        if plain >= 3 and plain < sum(map(str.isalnum, m[0])) <= 2 * plain:
+            edits.append((m.start(), m.end(), m[0].translate(_LETTER_DIGITS)))
+    return [(s + i, s + i + 1, c) for s, e, new in edits for i, c in enumerate(new) if c != text[s + i]]
 
 
-def _undotted(normal: Normal) -> Normal:
-    """normal with plain at and dot where they are disguised."""
+def undisguised(text: str) -> list[Edit]:
+    """@ and . for worded or bracketed ones within what has the shape of a mail address."""
     edits = []
-    for m in _DISGUISED.finditer(normal.text):
-        at = _AT_ONLY.search(normal.text, m.start(), m.end())
+    for m in _DISGUISED.finditer(text):
+        at = _AT_ONLY.search(text, m.start(), m.end())
         if at[0] == "@" and "(" not in m[0] and "[" not in m[0] and "{" not in m[0] and " " not in m[0]:
             continue
-        # A bare "at" counts only with a "dot" in words or brackets behind it, as prose has the one and not the other.
-        if at[0].strip().lower() == "at" and not _DOT_ONLY.search(normal.text, at.end(), m.end()):
+        if at[0].strip().lower() == "at" and not _DOT_ONLY.search(text, at.end(), m.end()) and not _addressed(text, m, at):
             continue
+        edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, m.start(), at.start())]
         edits.append((at.start(), at.end(), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(normal.text, at.end(), m.end())]
-    normal.rewrite(edits)
-    normal.rewrite([(d.start(), d.end(), ".") for m in _DOTTED_IP.finditer(normal.text) for d in _DOT_ONLY.finditer(normal.text, m.start(), m.end())])
-    return normal
+        edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, at.end(), m.end())]
+    return edits
+
+
+def _addressed(text: str, m: re.Match, at: re.Match) -> bool:
+    """Whether a bare "at" before a plain domain is that of an address."""
+    name = text[m.start() : at.start()]
+    if re.search(r"[0-9_%+]|[a-z][.-][a-z]", name, re.I) or _MAIL_WORD.search(text, max(0, m.start() - 40), m.start()):
+        return not name.endswith(".")
+    begin, stop = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+    return not text[begin : m.start()].strip() and not text[m.end() : stop if stop >= 0 else len(text)].strip(" \t\r.")
+
+
+def undotted(text: str) -> list[Edit]:
+    """Plain dots for worded or bracketed ones between the numbers of an address."""
+    return [(d.start(), d.end(), ".") for m in _DOTTED_IP.finditer(text) for d in _DOT_ONLY.finditer(text, m.start(), m.end())]
+
+
+def normal_forms(text: str) -> Iterator[Normal]:
+    """The normal forms of a text in which something was disguised.
+
+    Spelled digits are rewritten by runs in one and by groups in another, as a spelled digit beside an identifier may
+    belong to it or not; letters among digits in a third.
+    """
+    strange, low = _STRANGE.search(text), text.lower()
+    names = sum(map(low.count, _DIGIT_NAMES))
+    lettered, marked = _LETTERED_MARK.search(text), _DISGUISED_MARK.search(text)
+    if strange or marked or names:
+        first = seen(text)
+        plain, unseen = first.text, list(first.maps)
+
+        def cascade(*transducers) -> Normal:
+            form = Normal(plain)
+            form.maps = list(unseen)
+            for transducer in transducers:
+                form.through(transducer(form.text))
+            return form
+
+        runs = names >= 5 and _SPELLED.search(plain)
+        if strange or marked or runs:
+            yield cascade(spelled_runs, undisguised, undotted)
+        if names and (edits := spelled_groups(plain)):
+            yield cascade(lambda _: edits, undisguised, undotted)
+    if lettered or strange:
+        first = seen(text) if strange else Normal(text)
+        if edits := lettered_digits(first.text):
+            first.through(edits)
+            yield first.through(undotted(first.text))
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans with the disguised ones."""
     base = base_spans(text)
     added: list[Span] = []
-    # Both forms count: a spelled digit beside an identifier may belong to it or not.
-    for normal in (normalised(text), normalised(text, grouped=True)):
-        if normal is None or normal.starts is None:
-            continue
+    for normal in normal_forms(text):
         for s, kind, e in base_spans(normal.text):
             start, end = normal.source(s, e)
             if not any(x.start <= start and end <= x.end for x in (*base, *added)):
@@ -233,23 +318,30 @@ def digests(docs: DataFrame) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     base, spans = all_spans(text)
                     counts = [sum(x.kind == k for x in spans) for k in range(4)]
-                    rows.append((*counts, hashlib.sha256(described(base).encode()).hexdigest(), described(spans)))
-                columns = list(zip(*rows)) or [()] * 6
+                    rows.append((*counts, len(spans), hashlib.sha256(described(base).encode()).hexdigest(), described(spans)))
+                columns = list(zip(*rows)) or [()] * 7
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in columns[:4]), *(pa.array(x, type=pa.string()) for x in columns[4:])],
-                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                    [part.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in columns[:5]), *(pa.array(x, type=pa.string()) for x in columns[5:])],
+                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_spans", "base_sha256", "spans"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_sha256 string, spans string")
 
 
 def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with what was found in `text` masked; a null text stays null, and every other column as it was."""
-    from pyspark.sql.functions import pandas_udf
+    at = docs.columns.index(text)
+    # Columns go by their places, as their names may hold dots.
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
-    @pandas_udf("string")
-    def mask(texts):
-        return texts.map(lambda x: None if x is None else masked(x, all_spans(x)[1]))
-
-    return docs.withColumn(text, mask(F.col(f"`{text}`"))).select(*(f"`{c}`" for c in docs.columns))
+    def run(batches):
+        for batch in batches:
+            null, start = batch.column(at).is_null().to_pylist(), 0
+            for part in text_slices(batch, f"c{at}"):
+                texts = part.column(at).to_pylist()
+                new = [None if no else masked(x, all_spans(x)[1]) for x, no in zip(texts, null[start : start + len(texts)])]
+                start += len(texts)
+                yield part.set_column(at, batch.schema.field(at), pa.array(new, type=batch.schema.field(at).type))
+
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

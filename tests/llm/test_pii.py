@@ -54,6 +54,7 @@ def test_documents_against_brute_force(spark, odd_docs, no_docs):
             spans = set(r.spans.split(",")) - {""}
             assert spans >= set(said(brute(by[r.doc_id])).split(",")) - {""}
             assert [sum(x.startswith(k + ":") for x in spans) for k in PATTERNS] == [r.n_email, r.n_ip, r.n_card, r.n_phone]
+            assert r.n_spans == len(spans)
     assert pii.digests(no_docs).collect() == []
 
 
@@ -67,6 +68,14 @@ def test_documents_against_brute_force(spark, odd_docs, no_docs):
         ("host 10 dot 0 dot 0 dot 7!", "ip", "10 dot 0 dot 0 dot 7"),
         ("card ４１１１ １１１１ １１１１ １１１１.", "card", "４１１１ １１１１ １１１１ １１１１"),
         ("j​ane@ma​il.org", "email", "j​ane@ma​il.org"),
+        ("mail to jane dot doe at mail dot org now", "email", "jane dot doe at mail dot org"),
+        ("ask jane.doe at mail.org now", "email", "jane.doe at mail.org"),
+        ("you can email john at example.com", "email", "john at example.com"),
+        ("Contacts:\njohn at example.com\n", "email", "john at example.com"),
+        ("card 4111 llll 1111 1111.", "card", "4111 llll 1111 1111"),
+        ("card 41I1 1111 1111 l11l.", "card", "41I1 1111 1111 l11l"),
+        ("host l92.168.O.1!", "ip", "l92.168.O.1"),
+        ("host 192[.]168[.]0[.]1!", "ip", "192[.]168[.]0[.]1"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, found):
@@ -110,7 +119,7 @@ def test_a_fragment_does_not_stand_for_the_whole(text, kind):
     assert pii.masked(f"a {text} b", pii.all_spans(f"a {text} b")[1]) == f"a {pii.MASKS[kind]} b"
 
 
-@pytest.mark.parametrize("text", ["meet me at noon", "look at example dots", "one two three", "the dot com era at large", "version 1.2.3 at 10", "five six seven eight at nine"])
+@pytest.mark.parametrize("text", ["meet me at noon", "look at example dots", "one two three", "the dot com era at large", "version 1.2.3 at 10", "five six seven eight at nine", "look at example.com for more", "we met at home.", "Il a 10 lots", "in 1990 I saw 20 of 300"])
 def test_clean_prose_has_no_spans(text):
     assert pii.all_spans(text) == ([], [])
 
@@ -119,3 +128,37 @@ def test_masking_keeps_the_rest(odd_docs):
     out = pii.mask_documents(odd_docs)
     assert out.columns == odd_docs.columns and sorted(map(repr, out.collect())) == sorted(map(repr, odd_docs.collect()))
     assert pii.masked("a x@y.zz b 1.2.3.4", pii.base_spans("a x@y.zz b 1.2.3.4")) == "a [EMAIL] b [IP]"
+
+
+def test_memory_goes_by_disguises_not_by_characters():
+    import tracemalloc
+
+    text = "plain words – and no more\xa0of them " * 60_000 + "jane [at] mail [dot] org"
+    tracemalloc.start()
+    base, spans = pii.all_spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [text[s:e] for s, _, e in spans] == ["jane [at] mail [dot] org"] and peak < 20 * len(text)
+
+
+def test_maps_follow_characters_back():
+    """Every character of a normal form against a list of source stretches kept by character."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("ab\u200bc") for _ in range(30))
+        normal, kept = pii.Normal(text), [(i, i + 1) for i in range(30)]
+        for _ in range(3):
+            edits, at = [], 0
+            while (at := at + rng.randrange(4)) < len(normal.text):
+                stop = min(len(normal.text), at + 1 + rng.randrange(3))
+                edits.append((at, stop, "xyz"[: rng.randrange(4)]))
+                at = stop
+            new, at = [], 0
+            for s, e, put in edits:
+                new += kept[at:s] + [(kept[s][0], kept[e - 1][1])] * len(put)
+                at = e
+            kept = new + kept[at:]
+            normal.through(edits)
+        assert len(kept) == len(normal.text) and all(normal.source(i, j) == (kept[i][0], kept[j - 1][1]) for i in range(len(kept)) for j in range(i + 1, len(kept) + 1))
