@@ -96,7 +96,6 @@ def _homoglyphs() -> dict[str, str]:
 
 
 HOMOGLYPHS = _homoglyphs()
-_STRANGE = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "]")
 _ALIKE = str.maketrans({k: v for k, v in HOMOGLYPHS.items() if v})
 _UNSEEN = re.compile("[" + "".join(k for k, v in HOMOGLYPHS.items() if not v) + "]+")
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -115,13 +114,17 @@ _DOT = rf"(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s+d
 _WORDED_DOT = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s+dot\s+"
 _NAME_PART = r"[A-Za-z0-9._%+-]+"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME_PART}(?:(?:{_WORDED_DOT}){_NAME_PART}){{0,3}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
-_DISGUISED_MARK = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|\sdot\s|\s@|@\s|\sat\s+[a-z0-9-]+\.[a-z]", re.I)
+#: What a lower-cased text with disguised marks, or a whole spelled digit, holds; literals lead, which makes misses quick.
+_BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]")
+_WORDED = re.compile(r"dot(?<=\sdot)\s|at(?<=\sat)\s+[a-z0-9-]+\.[a-z]")
+_APART_MARK = re.compile(r"@\s|@(?<=\s@)")
+_WHOLE_NAME = re.compile("(?:" + "|".join(_DIGIT_NAMES) + r")\b")
 _DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_ONLY, _DOT_ONLY = re.compile(_AT, re.I), re.compile(_WORDED_DOT, re.I)
 _MAIL_WORD = re.compile(r"\b(?:e-?mails?|mail|write|contact|reach|address)\b[^\n]{0,24}$", re.I)
 #: Numbers in which letters stand for 1 and 0: groups of digits and such letters, apart from other letters.
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9lIOo]+(?:[ .()-]{1,2}[0-9lIOo]+)*+(?![A-Za-z0-9])")
-_LETTERED_MARK = re.compile(r"[0-9][lIOo]|[lIOo][0-9]|[0-9][ .-][lIOo]{1,4}[ .-][0-9]")
+_LETTERED_MARK = re.compile(r"[0-9](?:(?<=[lIOo].)|[lIOo]|[ .-][lIOo]{1,4}[ .-][0-9])")
 _LETTER_DIGITS = str.maketrans("lIOo", "1100")
 
 Edit = tuple[int, int, str]
@@ -251,11 +254,13 @@ def normal_forms(text: str) -> Iterator[Normal]:
     Spelled digits are rewritten by runs in one and by groups in another, as a spelled digit beside an identifier may
     belong to it or not; letters among digits in a third.
     """
-    strange, low = _STRANGE.search(text), text.lower()
+    strange = not text.isascii() and not HOMOGLYPHS.keys().isdisjoint(text)
+    first = seen(text) if strange else Normal(text)
+    low = first.text.lower()
     names = sum(map(low.count, _DIGIT_NAMES))
-    lettered, marked = _LETTERED_MARK.search(text), _DISGUISED_MARK.search(text)
+    names = names if names and _WHOLE_NAME.search(low) else 0
+    marked = _BRACKETED.search(low) or _WORDED.search(low) or ("@" in low and _APART_MARK.search(low))
     if strange or marked or names:
-        first = seen(text)
         plain, unseen = first.text, list(first.maps)
 
         def cascade(*transducers) -> Normal:
@@ -270,11 +275,9 @@ def normal_forms(text: str) -> Iterator[Normal]:
             yield cascade(spelled_runs, undisguised, undotted)
         if names and (edits := spelled_groups(plain)):
             yield cascade(lambda _: edits, undisguised, undotted)
-    if lettered or strange:
-        first = seen(text) if strange else Normal(text)
-        if edits := lettered_digits(first.text):
-            first.through(edits)
-            yield first.through(undotted(first.text))
+    if _LETTERED_MARK.search(first.text) and (edits := lettered_digits(first.text)):
+        first.through(edits)
+        yield first.through(undotted(first.text))
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
