@@ -1,10 +1,12 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
-Encoding walks through the characters and keeps, for each place, the best score and the piece that ends there. Only the
-last `longest` places can still begin a piece. From time to time the paths back from these are followed to where they
-meet: what lies before that place can no longer change, so its ids are committed and its places forgotten. The place
-before a word's blank is such a place for any vocabulary without pieces across it; there the state is empty, and so the
-ids of a word can be remembered. A worker remembers up to MAX_WORDS words.
+Encoding walks through the characters of a whole text and keeps, for each place, the best score and the piece that ends
+there. Only the last `longest` places can still begin a piece, and only these are held: from time to time the paths back
+from them are followed to where they meet; what lies before that place can no longer change, so its ids are committed and
+its places forgotten. In a vocabulary without pieces across words all paths meet before a word's blank, which needs no
+following. There the state is empty, so what is committed from one such place to the next depends on the characters
+between alone, and a worker remembers up to MAX_WORDS of these runs instead of walking through them again. With pieces
+across words every text is walked through as it is.
 
 Defined results: a null text counts as empty, an empty text has no ids and decodes to itself; texts are encoded whole
 at any length, in memory that does not grow with it but for the ids; among segmentations of equal score the one whose
@@ -22,11 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratalane.llm.common import text_slices, worker_state
-from stratalane.llm.pieces import Pieces, default_pieces, segments_of
+from stratalane.llm.pieces import SPACE, Pieces, default_pieces, segments_of
 from stratalane.llm.tokens import MAX_WORDS, WordEncoder, WordIds
 
-LONG_WORD = 256
-
 
 def stream(chars: Iterable[str], pieces: Pieces) -> Iterator[list[int]]:
     """The ids of a stream of characters, in runs as they are committed."""
@@ -44,6 +44,9 @@ def stream(chars: Iterable[str], pieces: Pieces) -> Iterator[list[int]]:
 
     due = 2 * pieces.longest
     for c in chars:
+        if c == SPACE and held and pieces.splits and held[-1] != SPACE:
+            yield path(len(held))
+            held, best, back, piece, due = [], [0.0], [0], [-1], 2 * pieces.longest
         held.append(c)
         j = len(held)
         score, start, which = (best[j - 1] + pieces.unknown_score, j - 1, -1) if not pieces.single(c) else (-np.inf, j - 1, -1)
@@ -76,12 +79,16 @@ def encode_word(word: str, pieces: Pieces) -> list[int]:
 
 
 class SentenceEncoder(WordEncoder):
-    """Encodes whole texts a distinct word at a time."""
+    """Encodes whole texts; runs between places where all paths meet are walked through once."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         self.pieces, self.known = Pieces(path), WordIds(self._ids, max_words)
-        if not self.pieces.splits:
-            raise ValueError("this vocabulary has pieces across words; encode whole texts by stream()")
+
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.pieces.splits:
+            return super().encode(text)
+        ids = [encode_word(SPACE + t.replace(" ", SPACE) if t else "", self.pieces) for t in text.to_pylist()]
+        return np.array([i for x in ids for i in x], dtype=np.int32), np.cumsum([0, *map(len, ids)])
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [encode_word(w, self.pieces) for w in words]

@@ -38,7 +38,7 @@ def brute(text):
     return best[-1][1]
 
 
-TEXTS = ["", " ", "  two  blanks ", "hello world", "naïve café 日本語 🙂 end", "tab\there\nline", f"literal {SPACE} mark{SPACE}{SPACE}", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "x", "internationalisation of misunderstandings"]
+TEXTS = ["", " ", "  two  blanks ", "hello world", "naïve café 日本語 🙂 end", "tab\there\nline", f"literal {SPACE} mark{SPACE}{SPACE}", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "x", "internationalisation of misunderstandings", "endless" * 80]
 
 
 def test_encoding_against_brute_force():
@@ -54,7 +54,7 @@ def test_counts_agree_with_encoding():
     counter = trie_counts.TrieCounter(default_pieces())
     counts, words = counter.count(pa.array(TEXTS, type=pa.large_string()))
     assert counts.tolist() == [len(brute(t)) for t in TEXTS] and words.tolist() == [len(segments(t)) for t in TEXTS]
-    small = trie_counts.TrieCounter(default_pieces(), most=5)  # what is forgotten changes nothing
+    small = trie_counts.TrieCounter(default_pieces(), most=5, nodes=20)  # what is forgotten changes nothing
     for _ in range(2):
         assert small.count(pa.array(TEXTS, type=pa.large_string()))[0].tolist() == counts.tolist()
 
@@ -102,3 +102,24 @@ def test_tables(spark, odd_docs, no_docs):
         back = viterbi.decoded(viterbi.coded(docs).select("doc_id", "ids"))
         assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
     assert viterbi.coded(no_docs).collect() == [] and trie_counts.token_counts(no_docs).collect() == []
+
+
+def test_trie_holds_each_prefix_once():
+    trie = trie_counts.Trie(pieces())
+    words = [SPACE + w for w in ("token", "tokens", "tokenize", "to", "tokens", "other")]
+    ends = trie.insert(words)
+    assert len(trie) == len({w[:k] for w in words for k in range(len(w) + 1)}) and ends[1] == ends[4]
+    assert sorted(np.flatnonzero(list(trie.terminal))) == sorted(set(ends))
+    assert [trie.tokens[e] for e in ends] == [len(brute(w[1:])) for w in words]
+
+
+def test_whole_texts_through_the_stream():
+    encoder, across = viterbi.SentenceEncoder(default_pieces()), viterbi.SentenceEncoder(default_pieces())
+    across.pieces.splits = False  # as if pieces could lie across words: nothing is cut beforehand
+    texts = [*TEXTS, "a long text of many words, " * 40]
+    for made in (encoder, across):
+        ids, ends = made.encode(pa.array(texts, type=pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [brute(t) for t in texts]
+    for t in texts:
+        runs = list(viterbi.stream(SPACE + t.replace(" ", SPACE) if t else "", pieces()))
+        assert [i for run in runs for i in run] == brute(t)
