@@ -4,8 +4,10 @@ Fingerprints are cut into six blocks. Two that differ in at most three bits agre
 fingerprint is filed under its twenty triples of blocks, about 32 bits a key, and compared only with those filed under
 the same key. Equal fingerprints are one node throughout, however many documents hold them, so groups of exact copies
 cost nothing. Of what is compared under one key only a spanning forest of the links is emitted, which keeps output in
-proportion to the input and loses no class. Keys that hold more than CHUNK fingerprints are dealt to pairs of chunks,
-so no task ever holds more than two chunks of one key.
+proportion to the input and loses no class. A key that holds more than CHUNK fingerprints is cut again: the up to three
+bits that differ lie outside its blocks, and of four parts of what is outside one at least agrees, so its fingerprints are
+filed under these four, of about 8 bits more each. What is crowded even then is dealt to pairs of chunks, so no task
+ever holds more than two chunks of one key.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal rows share a class;
 texts are read whole at any length; an empty table gives an empty result; other columns of the input are not read.
@@ -35,6 +37,12 @@ def _masks() -> list[int]:
     return [sum(block[i] for i in some) for some in combinations(range(len(BLOCKS)), len(BLOCKS) - NEAR_BITS)]
 
 
+def _parts(mask: int) -> list[int]:
+    """What lies outside a mask, in one more part than bits may differ."""
+    outside = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in outside[k :: NEAR_BITS + 1]) for k in range(NEAR_BITS + 1)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -116,12 +124,18 @@ def near_links(nodes: DataFrame, near: int = NEAR_BITS, chunk: int = CHUNK) -> D
     """(a long, b long): links between the distinct fingerprints `fp` of nodes that join up every class."""
     masks = F.array(*(F.lit(_signed(m)) for m in _masks()))
     filed = nodes.select("fp", F.posexplode(masks).alias("band", "mask")).select("fp", "band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    crowded = filed.groupBy("band", "key").count().where(F.col("count") > chunk)
-    crowded = crowded.select("band", "key", F.ceil(F.col("count") / chunk * 2).cast("int").alias("chunks"))
+    crowded = filed.groupBy("band", "key").count().where(F.col("count") > chunk).select("band", "key", F.lit(True).alias("cut"))
+    parts = F.array(*(F.array(*(F.lit(_signed(p)) for p in _parts(m))) for m in _masks()))
+    cuts = F.transform(F.get(parts, F.col("band")), lambda p, k: F.struct(k.alias("part"), F.col("fp").bitwiseAND(p).alias("bits")))
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bits")))
+    finer = filed.join(crowded, ["band", "key"], "left").select("fp", "band", "key", F.explode(F.when(F.col("cut"), cuts).otherwise(whole)).alias("p"))
+    finer = finer.select("fp", F.col("p.part").alias("part"), F.xxhash64("band", "key", "p.part", "p.bits").alias("key"))
+    packed = finer.where("part >= 0").groupBy("key").count().where(F.col("count") > chunk)
+    packed = packed.select("key", F.ceil(F.col("count") / chunk * 2).cast("int").alias("chunks"))
     own = F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
     others = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = filed.join(crowded, ["band", "key"], "left").withColumn("own", own).select("fp", "band", "key", "own", F.explode(others).alias("other"))
-    dealt = dealt.select("fp", F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    dealt = finer.join(packed, "key", "left").withColumn("own", own).select("fp", "key", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
 
     def run(batches):
         keys, fps, held = [], [], 0
@@ -155,11 +169,12 @@ def classes(links: DataFrame) -> DataFrame:
     done: DataFrame | None = None
     left = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while not left.isEmpty():
-        up = written(left.groupBy("a").agg(F.min("b").alias("b")), "parents")
+        up = table = written(left.groupBy("a").agg(F.min("b").alias("b")), "parents")
         while True:
             over = up.select(F.col("a").alias("m"), F.col("b").alias("r"))
             jumped = written(up.join(over, F.col("b") == F.col("m"), "left").select("a", F.coalesce("r", "b").alias("b"), F.col("r").isNotNull().alias("moved")), "parents")
-            up = jumped.select("a", "b")
+            dropped(table)
+            table, up = jumped, jumped.select("a", "b")
             if jumped.where("moved").isEmpty():
                 break
         root = lambda df, c: df.join(up.select(F.col("a").alias("m"), F.col("b").alias("r")), F.col(c) == F.col("m"), "left").withColumn(c, F.coalesce("r", c)).drop("m", "r")
@@ -168,7 +183,9 @@ def classes(links: DataFrame) -> DataFrame:
         else:
             done = written(root(done, "root").unionByName(up.select(F.col("a").alias("node"), F.col("b").alias("root")).join(done.select("node"), "node", "left_anti")), "classes")
         moved = root(root(left, "a"), "b").where("a != b")
+        over = left
         left = written(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        dropped(over)
     if done is None:
         return links.sparkSession.createDataFrame([], "node long, root long")
     return done
