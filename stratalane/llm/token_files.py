@@ -8,11 +8,12 @@ where each begins among the part's ids and how many it has. Parts are written by
 folder; a manifest written by Spark names the file of the attempt that won, so that retried or speculative tasks leave
 at worst an unread file, and the totals in it give each part its place in the whole corpus.
 
-Texts are encoded where they lie, and only ids are sorted; a doc_id that many rows share is spread over files like any
-other stretch of rows. A file holds about FILE_TOKENS ids at most, so their number grows with the corpus, not their size.
+Texts are encoded where they lie, and only ids are shuffled and sorted, by stretches of keys that a sample of SAMPLE keys a
+part divides; keys are doc_id, length and hash of a text, so a doc_id that many rows share is spread over files like any
+other. A part holds the ids of about FILE_TEXT bytes of text at most, so the number of files grows with the corpus.
 
 Defined results: a null text counts as empty (its document is its end id alone); a null doc_id comes first; rows of one
-doc_id are laid down by length, then by checksum of their ids, and rows equal in these in the order of the input; texts are written whole at any length; an empty table gives a manifest without rows; other columns of the
+doc_id are laid down by length of their text in bytes, then by its hash; texts are written whole at any length; an empty table gives a manifest without rows; other columns of the
 input are not read.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,13 @@ from pyspark.sql import functions as F
 
 from stratalane.llm.common import text_slices, worker_state
 from stratalane.llm.tokens import SLICE, WordEncoder, default_tokenizer
-from stratalane.session import dropped, fresh_path, passing, written
+from stratalane.session import fresh_path, passing, written
 
 LENGTH = 2048
 BATCH = 64
 END = 1
-FILE_TOKENS = 64 << 20
+FILE_TEXT = 256 << 20
+SAMPLE = 100
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
 
 
@@ -114,12 +117,45 @@ def _width(encoder: WordEncoder, end: int):
     return np.dtype("<u2" if max(encoder.largest, end) < 1 << 16 else "<u4")
 
 
-def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """A written table (doc_id, n_tokens, crc, row, ids): what is sorted afterwards is ids, a fraction of the text."""
+ORDER = ("doc_id", "size", "hash")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("hash"), "text")
+
+
+def _place(key: tuple) -> tuple:
+    """A key of ORDER in a form that compares, nulls first."""
+    return (key[0] is not None, *key) if key[0] is not None else (False, 0, *key[1:])
+
+
+def _bounds(keyed: DataFrame, parts: int) -> list[tuple]:
+    """Keys that divide the rows in about equal parts by size, from a sample of SAMPLE keys a part."""
+    keys = keyed.select(*ORDER)
+    taken = keys.sample(min(1.0, SAMPLE * parts / max(1, keys.count())), seed=11).limit(2 * SAMPLE * parts).collect()
+    found = sorted((_place(tuple(r)), r["size"] + 64) for r in taken)
+    run, total = 0, sum(n for _, n in found)
+    out = []
+    for key, n in found:
+        if run * parts >= total * (len(out) + 1):
+            out.append(key)
+        run += n
+    return out
+
+
+def _part(bounds: list[tuple], key: tuple, turn: int) -> int:
+    """The part of a key; rows equal in a key that bounds several parts take turns among these."""
+    low, high = bisect_left(bounds, key), bisect_right(bounds, key)
+    return low + turn % (high - low + 1)
+
+
+def _encoded(keyed: DataFrame, path: str, end: int, bounds: list[tuple]) -> DataFrame:
+    """(part, doc_id, size, hash, n_tokens, ids): what is shuffled and sorted afterwards is ids, a fraction of the text."""
 
     def run(batches):
         encoder = worker_state(f"words:{path}", lambda: WordEncoder(path))
-        row, kind = TaskContext.get().partitionId() << 40, _width(encoder, end)
+        kind = _width(encoder, end)
         for batch in batches:
             for piece in text_slices(batch, "text", SLICE):
                 ids, ends = encoder.encode(piece.column("text"))
@@ -127,15 +163,12 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
                 counts = np.diff(ends) + 1
                 places = np.concatenate([[0], np.cumsum(counts)])
                 body = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(places * kind.itemsize), pa.py_buffer(flat)])
-                crc = [zlib.crc32(flat[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
-                rows = np.arange(row, row := row + len(counts))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(counts), pa.array(crc, type=pa.int64()), pa.array(rows), body.cast(pa.binary())],
-                    names=["doc_id", "n_tokens", "crc", "row", "ids"],
-                )
+                keys = [piece.column(c) for c in ORDER]
+                part = [_part(bounds, _place(k), i) for i, k in enumerate(zip(*(c.to_pylist() for c in keys)))]
+                yield pa.RecordBatch.from_arrays([pa.array(part, type=pa.int32()), *keys, pa.array(counts), body.cast(pa.binary())], names=["part", *ORDER, "n_tokens", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, crc long, row long, ids binary"), "encoded")
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    return keyed.mapInArrow(run, f"part int, doc_id {kind}, size long, hash long, n_tokens long, ids binary")
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end: int = END, length: int = LENGTH) -> DataFrame:
@@ -168,14 +201,12 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
                 x.close()
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([n_docs]), pa.array([n_tokens])], names=["part", "file", "n_docs", "n_tokens"])
 
-    table = encoded(docs, path, end)
-    total = table.agg(F.sum("n_tokens").alias("n")).first().n or 0
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_TOKENS))
-    order = ["doc_id", "n_tokens", "crc", "row"]  # the last two spread and order rows of one doc_id
-    ordered = table.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
-    manifest = written(ordered.mapInArrow(run, MANIFEST), "manifest")
-    dropped(table)
-    if own and total:
+    keyed = _keyed(docs)
+    size = keyed.agg(F.sum("size").alias("n")).first().n or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_TEXT))
+    dealt = _encoded(keyed, path, end, _bounds(keyed, parts)).repartitionById(parts, "part")
+    manifest = written(dealt.sortWithinPartitions(*ORDER).select("doc_id", "n_tokens", "ids").mapInArrow(run, MANIFEST), "manifest")
+    if own and not manifest.isEmpty():
         passing(spark, folder)
     return manifest
 
