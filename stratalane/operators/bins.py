@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalane.operators.intervals import longest_of, overlap_join, running
+from stratalane.operators.intervals import overlap_join, running
 
 
 def tumbling(df: DataFrame, width: int, by: Sequence[str] = ("chrom",), pos: str = "pos", total: Column | None = None, zeros: bool = True) -> DataFrame:
@@ -59,7 +59,8 @@ def relative(features: DataFrame, signal: DataFrame, flank: int) -> DataFrame:
     """(id, type, rel, v): the signal by its place relative to each feature; of several values at a place the greatest."""
     parts = segments(features, flank).withColumn("__last", F.col("e") - 1)
     points = signal.select("chrom", F.col("pos").alias("s"), F.col("pos").alias("__last"), "v")
-    met = overlap_join(parts, points, end="__last", longest=max(flank, longest_of(features)))
+    # Dealt by feature once, which serves this aggregation and those by feature and bin that may follow.
+    met = overlap_join(parts, points, end="__last").select("id1", "type1", "strand1", "s1", "e1", "offset1", "size1", "s2", "v2").repartition("id1")
     pos, s, e, offset = (F.col(c) for c in ("s2", "s1", "e1", "offset1"))
     up, plus = F.col("type1") == "u", F.col("strand1") == "+"
     rel = F.when(plus & up, flank - (e - pos)).when(plus, pos - s + offset).when(up, flank - (pos - s)).otherwise(e - pos + offset)

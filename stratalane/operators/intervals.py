@@ -14,48 +14,55 @@ from pyspark.sql import functions as F
 
 BIN = 512
 FAN = 8
+#: Levels of bins; the widest hold any interval of 64-bit coordinates in use.
+LEVELS = 16
 SLICE = 1 << 16
 
 
-def longest_of(df: DataFrame, start: str = "s", end: str = "e") -> int:
-    return df.agg(F.max(F.col(end) - F.col(start))).first()[0] or 0
+def _own_level(start: Column, end: Column, levels: int = LEVELS) -> Column:
+    """The first level whose bins are at least as wide as the interval."""
+    own = F.lit(levels - 1)
+    for k in range(levels - 2, -1, -1):
+        own = F.when(end - start < BIN * FAN**k, F.lit(k)).otherwise(own)
+    return own
 
 
-def _levels(longest: int, pad: int) -> int:
-    """Bin widths needed, each FAN times the one before, so that the longest interval fits the widest bin."""
-    n, width = 1, BIN
-    while width < longest + 2 * pad:
-        n, width = n + 1, width * FAN
-    return n
+def _levels_of(df: DataFrame, start: Column, end: Column) -> list[int]:
+    """The levels that intervals of df have, LEVELS at most."""
+    return sorted(r.k for r in df.select(_own_level(start, end).alias("k")).distinct().collect())
 
 
-def _binned(df: DataFrame, start: Column, end: Column, levels: int) -> DataFrame:
-    """A row for each level from the interval's own up, and each of the at most two bins that it meets there."""
-    own = F.lit(levels - 1)
-    for k in range(levels - 2, -1, -1):
-        own = F.when(end - start < BIN * FAN**k, F.lit(k)).otherwise(own)
-    none = F.array().cast("array<struct<level:int,bin:bigint>>")
+def _filed(df: DataFrame, start: Column, end: Column, own_roles: dict[int, list[int]], above: list[int], role: int) -> DataFrame:
+    """Rows for each interval's own level in each of own_roles, and for the levels `above` its own in role; by bin.
+
+    An interval meets at most two bins of its own level and of those above.
+    """
+    own, none = _own_level(start, end), F.array().cast("array<struct<level:int,role:int,bin:bigint>>")
 
-    def bins(k: int) -> Column:
+    def bins(k: int, roles: list[int]) -> Column:
         met = F.sequence(*(F.floor(x / (BIN * FAN**k)) for x in (start, end)))
-        return F.when(own <= k, F.transform(met, lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin")))).otherwise(none)
+        put = lambda role: F.transform(met, lambda b: F.struct(F.lit(k).alias("level"), F.lit(role).alias("role"), b.alias("bin")))
+        return F.flatten(F.array(*map(put, roles)))
 
-    places = F.flatten(F.array(*map(bins, range(levels))))
-    return df.withColumn("__own", own).withColumn("__at", F.explode(places)).select("*", F.col("__at.level").alias("__level"), F.col("__at.bin").alias("__bin")).drop("__at")
+    at = [F.when(own == k, bins(k, roles)).otherwise(none) for k, roles in own_roles.items()]
+    at += [F.when(own < k, bins(k, [role])).otherwise(none) for k in above]
+    return df.withColumn("__at", F.explode(F.flatten(F.array(*at)) if at else none)).select(*df.columns, F.col("__at.level").alias("__level"), F.col("__at.role").alias("__role"), F.col("__at.bin").alias("__bin"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom",), k: int = 1, percent: float | None = None, start: str = "s", end: str = "e", longest: int | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom",), k: int = 1, percent: float | None = None, start: str = "s", end: str = "e") -> DataFrame:
     """Pairs of intervals with v = min(ends) - max(starts) + 1 of at least k; k < 0 allows gaps of up to -k.
 
     percent > 0 asks for that share of the longer interval, percent < 0 for that share of the shorter one (rounded down;
     a share that rounds to 0 lets abutting pairs through). Columns come back with 1 and 2 appended, and v.
-    longest bounds the intervals' lengths; without it both tables are read for it beforehand.
-    Each pair is found at the level of its longer interval, in the later of the two first bins, and so once.
+    A pair is found at the level of its longer interval, in the later of the two first bins, and so once: rows meet at a
+    level only if one of them has it as its own, so short intervals never meet in the wide bins of a few long ones.
     """
     pad = 1 if percent is not None else max(0, 1 - k)
-    levels = _levels(max(longest_of(f, start, end) for f in (left, right)) if longest is None else longest, pad)
-    a = _binned(left, F.col(start) - pad, F.col(end) + pad, levels)
-    b = _binned(right, F.col(start), F.col(end), levels)
+    near, far = (F.col(start) - pad, F.col(end) + pad), (F.col(start), F.col(end))
+    of_a, of_b = _levels_of(left, *near), _levels_of(right, *far)
+    # Role 0: left's own level with right's up to it; role 1: right's own level with left's below it.
+    a = _filed(left, *near, {n: [0] for n in of_a}, [n for n in of_b if n > min(of_a, default=n)], 1)
+    b = _filed(right, *far, {n: [0, 1] if n > min(of_a, default=n) else [0] for n in of_b}, [n for n in of_a if n > min(of_b, default=n)], 0)
     a, b = a.select([F.col(c).alias(f"{c}1") for c in a.columns]), b.select([F.col(c).alias(f"{c}2") for c in b.columns])
     s1, e1, s2, e2 = (F.col(f"{start}1"), F.col(f"{end}1"), F.col(f"{start}2"), F.col(f"{end}2"))
     v = F.least(e1, e2) - F.greatest(s1, s2) + 1
@@ -64,9 +71,9 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom"
     else:
         pick = F.greatest if percent > 0 else F.least
         least = F.floor(pick(e1 - s1 + 1, e2 - s2 + 1) * abs(percent) / 100)
-    width = F.element_at(F.array(*(F.lit(BIN * FAN**i) for i in range(levels))), F.col("__level1") + 1)
-    same = [F.col(f"{c}1") == F.col(f"{c}2") for c in (*on, "__level", "__bin")]
-    once = (F.greatest("__own1", "__own2") == F.col("__level1")) & (F.greatest(F.floor((s1 - pad) / width), F.floor(s2 / width)) == F.col("__bin1"))
+    width = F.element_at(F.array(*(F.lit(BIN * FAN**i) for i in range(LEVELS))), F.col("__level1") + 1)
+    same = [F.col(f"{c}1") == F.col(f"{c}2") for c in (*on, "__level", "__role", "__bin")]
+    once = F.greatest(F.floor((s1 - pad) / width), F.floor(s2 / width)) == F.col("__bin1")
     met = a.join(b, [*same, once, v >= least])
     return met.select(*(f"{c}1" for c in left.columns), *(f"{c}2" for c in right.columns), v.alias("v"))
 

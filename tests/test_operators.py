@@ -210,3 +210,10 @@ def test_empty_tables(spark):
     assert intervals.merged(none).collect() == [] and intervals.coverage(none).collect() == [] and intervals.overlap_join(none, none).collect() == []
     track = none.select("chrom", F.col("s").alias("pos"), F.lit(1.0).alias("v"))
     assert bins.feature_bins(none, track, 100, 2, 2).collect() == [] and bins.tumbling(track, 10).collect() == []
+
+
+def test_one_long_interval_among_short_ones(spark):
+    """Short intervals don't meet in the bins of a long one: pairs looked at stay near those found."""
+    rows = [(0, i * 1000, 300) for i in range(2000)] + [(0, 0, 2_000_000)]
+    pairs = intervals.overlap_join(table(spark, rows), table(spark, rows))
+    assert pairs.count() == 2000 + 2 * 2000 + 1
