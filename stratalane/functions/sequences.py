@@ -177,3 +177,16 @@ def gap_pieces(seq: Column | str) -> Column:
     parts = F.split(F.regexp_replace(_c(seq), "([Nn]+)", "\n$1\n"), "\n")
     walk = F.aggregate(parts, F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,piece:string>>").alias("out")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when((p == "") | p.rlike("^[Nn]"), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), p.alias("piece"))))).alias("out")))
     return walk["out"]
+
+
+#: Intron motifs (first and last two bases) by their codes in junction tables; any other has code 0.
+MOTIFS = {("GT", "AG"): 1, ("CT", "AC"): 2, ("GC", "AG"): 3, ("CT", "GC"): 4, ("AT", "AC"): 5, ("GT", "AT"): 6}
+
+
+def motif_code(first: Column | str, last: Column | str) -> Column:
+    """The code of an intron's motif from its first and last two bases; null where one of them is not of two bases."""
+    a, b = F.upper(_c(first)), F.upper(_c(last))
+    out = F.when((F.length(a) != 2) | (F.length(b) != 2) | a.isNull() | b.isNull(), F.lit(None).cast("int"))
+    for (x, y), code in MOTIFS.items():
+        out = out.when((a == x) & (b == y), F.lit(code))
+    return out.otherwise(F.lit(0))

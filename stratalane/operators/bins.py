@@ -101,10 +101,13 @@ def moving(signal: DataFrame, by: Sequence[str], pos: str, value: str, half: int
     return spread.groupBy(*by, (F.col("g") * spacing).alias("x")).agg(F.count("v").alias("n"), mean.alias("mean"), F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("sd"), (F.exp(F.sum(F.log1p("v")) / n) - 1).alias("geomean"))
 
 
-def smoothed(long: DataFrame, row: str, ix: str, value: str, band: int) -> DataFrame:
-    """Each cell's mean with those up to band - 1 columns to either side."""
+def smoothed(long: DataFrame, row: str, ix: str, value: str, band: int, how: str = "mean") -> DataFrame:
+    """Each cell's mean, geomean (of 1 + value, less 1), median or sum with those up to band - 1 columns to either side."""
     near = Window.partitionBy(row).orderBy(ix).rangeBetween(-(band - 1), band - 1)
-    return long.withColumn("smooth", F.avg(value).over(near))
+    listed = F.sort_array(F.collect_list(value).over(near))
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+    of = {"mean": lambda: F.avg(value).over(near), "sum": lambda: F.sum(value).over(near), "geomean": lambda: F.exp(F.avg(F.log1p(value)).over(near)) - 1, "median": lambda: middle(listed)}
+    return long.withColumn("smooth", of[how]())
 
 
 def peaks(long: DataFrame, row: str, ix: str, value: str, span: int = 5) -> DataFrame:

@@ -217,3 +217,13 @@ def test_one_long_interval_among_short_ones(spark):
     rows = [(0, i * 1000, 300) for i in range(2000)] + [(0, 0, 2_000_000)]
     pairs = intervals.overlap_join(table(spark, rows), table(spark, rows))
     assert pairs.count() == 2000 + 2 * 2000 + 1
+
+
+def test_sequences_are_put_together_from_chunks(spark):
+    from stratalane.operators import genome
+
+    text = "".join(random.Random(2).choice("ACGTN") for _ in range(500))
+    bed = spark.createDataFrame([("c", 3, 480, "a", "+", [0, 100, 300], [90, 33, 177]), ("c", 0, 500, "b", "-", [0], [500]), ("c", 400, 501, "out", "+", [0], [101])], "chrom string, s long, e long, name string, strand string, starts array<long>, sizes array<long>")
+    whole = spark.createDataFrame([("c", text)], "chrom string, seq string")
+    found = {r.name: r.seq for r in genome.extracted(bed, whole, size=16).collect()}
+    assert found == {"a": text[3:93] + text[103:136] + text[303:480], "b": text[::-1].translate(str.maketrans("ACGT", "TGCA"))}
