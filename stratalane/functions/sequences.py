@@ -162,8 +162,16 @@ def rotated(seq: Column | str, start: Column | int, flip: Column | bool = False)
 
 
 def masked_outside(seq: Column | str, passed: Column) -> Column:
-    """Bases at the 1-based places in an array, N elsewhere."""
-    return F.array_join(F.transform(F.split(_c(seq), ""), lambda c, i: F.when(F.array_contains(passed, i + 1), c).otherwise("N")), "")
+    """Bases at the 1-based places in an array, N elsewhere; the places are walked once, in order."""
+    size, text = F.length(_c(seq)), F.split(_c(seq), "")
+    places = F.array_sort(F.array_distinct(F.filter(passed, lambda p: (p >= 1) & (p <= size))))
+
+    def put(at: Column) -> Column:
+        between = lambda p, k: F.repeat(F.lit("N"), (p - F.coalesce(F.get(at, k - 1), F.lit(0)) - 1).cast("int"))
+        kept = F.transform(at, lambda p, k: F.concat(between(p, k), F.get(text, (p - 1).cast("int"))))
+        return F.concat(F.array_join(kept, ""), F.repeat(F.lit("N"), (size - F.coalesce(F.array_max(at), F.lit(0))).cast("int")))
+
+    return F.get(F.transform(F.array(places), put), F.lit(0))
 
 
 def longest_orf(seq: Column | str) -> Column:
