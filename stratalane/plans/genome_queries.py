@@ -177,10 +177,10 @@ def p_matrix(spark, sf_dir):
     return wide.select("brand", *(F.round(f"`{k}`", 6).alias(str(k)) for k in range(1, 6)))
 
 
-@query("WITH s AS (SELECT o_orderkey AS id, 'price' AS measure, o_totalprice / 1000000 AS v FROM orders UNION ALL SELECT o_orderkey, 'key', (o_orderkey % 100) / 100 FROM orders) SELECT id, measure, 'on' AS part, round(v, 6) AS value FROM s UNION ALL SELECT id, measure, 'off', round(1 - v, 6) FROM s")
+@query("WITH s AS (SELECT o_orderkey AS id, 'price' AS measure, o_totalprice / 1000000 AS v FROM orders UNION ALL SELECT o_orderkey, 'key', (o_orderkey % 100) / 100 FROM orders) SELECT id, measure, 'on' AS part, round(v, 8) AS value FROM s UNION ALL SELECT id, measure, 'off', round(1 - v, 8) FROM s")
 def shares_melted(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
-    return genome.shares_melted(rows, "id", {"price": F.col("o_totalprice") / 1000000, "key": (F.col("id") % 100) / 100}).withColumn("value", F.round("value", 6))
+    return genome.shares_melted(rows, "id", {"price": F.col("o_totalprice") / 1000000, "key": (F.col("id") % 100) / 100}).withColumn("value", F.round("value", 8))
 
 
 @query("SELECT o_custkey AS ordinal, o_orderkey AS id, o_totalprice AS b, o_custkey AS a FROM orders WHERE o_orderkey % 3 = 0")
