@@ -134,3 +134,36 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     """The first n rows of each group; Spark cuts groups down before it shuffles them."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
+def _within(t: float, df: int) -> float:
+    """Share of Student's distribution between -t and t, by its finite series for whole degrees of freedom."""
+    from math import atan, cos, pi, sin, sqrt
+
+    angle = atan(t / sqrt(df))
+    term, total = (cos(angle), 0.0) if df % 2 else (1.0, 0.0)
+    for k in range(df % 2 + 1, df, 2):
+        total += term
+        term *= cos(angle) ** 2 * k / (k + 1)
+    return 2 / pi * (angle + sin(angle) * total) if df % 2 else sin(angle) * total
+
+
+def t_quantile(df: int, share: float = 0.95) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _within(middle, df) < share else (low, middle)
+    return low
+
+
+def t_limit(df: Column, exact: int = 30) -> Column:
+    """The 97.5 % quantile of Student's distribution: a list for few degrees of freedom, its expansion beyond (to 1e-6)."""
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(0.975)
+    series = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    far = F.lit(z)
+    for i, g in enumerate(series, 1):
+        far = far + g / F.pow(df.cast("double"), i)
+    listed = F.array(*(F.lit(t_quantile(k)) for k in range(1, exact + 1)))
+    return F.when(df <= exact, F.get(listed, (df - 1).cast("int"))).otherwise(far)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalane.operators.intervals import subtract
+
 BAG = "array<struct<k:string,v:string>>"
 
 
@@ -156,6 +158,20 @@ def gene_flanks(genes: DataFrame, flank: int, buffer: int = 0) -> DataFrame:
     return genes.select("gene", "chrom", "strand", side.alias("x")).select("gene", "chrom", "strand", "x.*").where("e > s")
 
 
+def flanks_kept(genes: DataFrame, side: str, size: int, buffer: int = 0, least: int = 1, blockers: DataFrame | None = None, same_strand: bool = False) -> DataFrame:
+    """(gene, chrom, strand, s, e): what genes, or other blockers as exons, leave of one flank (5 or 3) of each gene.
+
+    Coordinates are inclusive; a flank runs from buffer + 1 to size + 1 positions off the gene, and pieces span `least` at least.
+    """
+    after = (F.col("strand") == "+") == F.lit(side == "3")
+    s = F.when(after, F.col("e") + 1 + buffer).otherwise(F.col("s") - size - 1)
+    e = F.when(after, F.col("e") + size + 1).otherwise(F.col("s") - 1 - buffer)
+    rows = genes.select("gene", "chrom", "strand", F.greatest(s, F.lit(1)).alias("s"), F.greatest(e, F.lit(1)).alias("e")).where(F.col("e") - F.col("s") >= least)
+    by = ["chrom", "strand"] if same_strand else ["chrom"]
+    taken = (genes if blockers is None else blockers).select(*by, (F.col("s") - 1).alias("s"), "e")
+    return subtract(rows.withColumn("s", F.col("s") - 1), taken, by, "gene", least + 1).withColumn("s", F.col("s") + 1)
+
+
 def transcript_ends(table: DataFrame, pad: int = 0) -> DataFrame:
     """table (chrom, s, e, strand, score) with the first and last base by strand, padded and clamped, and a score of 0 to 1000."""
     plus = F.col("strand") == "+"

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalane.functions.statistics import t_limit
 from stratalane.operators.intervals import overlap_join, running
 
 
@@ -101,6 +102,34 @@ def moving(signal: DataFrame, by: Sequence[str], pos: str, value: str, half: int
     return spread.groupBy(*by, (F.col("g") * spacing).alias("x")).agg(F.count("v").alias("n"), mean.alias("mean"), F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("sd"), (F.exp(F.sum(F.log1p("v")) / n) - 1).alias("geomean"))
 
 
+def _summary(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of values v that occur k times: count, mean, half-width of its 95 % limits, quartiles."""
+    n, total = F.sum("k"), F.sum(F.col("v") * F.col("k"))
+    rows = counted.groupBy(*by).agg(n.alias("n"), (total / n).alias("mean"), F.sum(F.col("v") * F.col("v") * F.col("k")).alias("__squares"), F.expr("percentile(v, array(0.25, 0.5, 0.75), k)").alias("__q"))
+    many = F.col("n")
+    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("__squares") - many * F.col("mean") * F.col("mean")) / (many - 1)))
+    error = F.when(many > 1, t_limit(many - 1) * sd / F.sqrt(many))
+    return rows.select(*by, "n", "mean", error.alias("error"), *(F.col("__q")[i].alias(name) for i, name in enumerate(("low", "median", "high"))))
+
+
+def moving_limits(signal: DataFrame, by: Sequence[str], pos: str, value: str, half: int, spacing: int, padded: int = 0) -> DataFrame:
+    """At each grid point the values within `half` positions, with zeros up to `padded` of them: count, mean, half-width of
+    its 95 % limits, quartiles. Equal values are counted first, and the zeros are one counted value."""
+    first, last = F.ceil((F.col(pos) - half) / spacing), F.floor((F.col(pos) + half) / spacing)
+    spread = signal.where((first <= last) & F.col(value).isNotNull()).select(*by, F.explode(F.sequence(first, last)).alias("g"), F.col(value).cast("double").alias("v"))
+    counted = spread.groupBy(*by, (F.col("g") * spacing).alias("x"), "v").agg(F.count("*").alias("k"))
+    lacking = counted.groupBy(*by, "x").agg(F.lit(0.0).alias("v"), (padded - F.sum("k")).alias("k")).where("k > 0")
+    return _summary(counted.unionByName(lacking), [*by, "x"])
+
+
+def profile(long: DataFrame, ix: str, value: str, band: int) -> DataFrame:
+    """Of each column of a matrix all cells in it and in up to band - 1 columns to either side: count, mean, half-width of
+    its 95 % limits, quartiles. Equal cells of a column are counted before they are sent to its neighbours."""
+    cells = long.where(F.col(value).isNotNull()).groupBy(ix, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    near = cells.select(F.explode(F.sequence(F.col(ix) - (band - 1), F.col(ix) + (band - 1))).alias(ix), "v", "k")
+    return _summary(near.join(long.select(ix).distinct(), ix, "left_semi"), [ix])
+
+
 def smoothed(long: DataFrame, row: str, ix: str, value: str, band: int, how: str = "mean") -> DataFrame:
     """Each cell's mean, geomean (of 1 + value, less 1), median or sum with those up to band - 1 columns to either side."""
     near = Window.partitionBy(row).orderBy(ix).rangeBetween(-(band - 1), band - 1)

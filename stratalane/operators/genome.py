@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalane.functions import sequences as seqs
-from stratalane.operators.intervals import overlap_join
+from stratalane.operators.intervals import islands, overlap_join
 
 CHUNK = 1 << 16
 
@@ -103,6 +103,61 @@ def probe_copies(hits: DataFrame, probe: str, order: Sequence[str], most: int) -
     return counted.withColumn("name", name).withColumn("score", F.floor(F.lit(1000) / F.col("copies")).cast("long"))
 
 
+def placed_probes(probes: DataFrame, hits: DataFrame, reach: int = 10, slack: int = 200) -> DataFrame:
+    """(n, key, new_chrom, new_pos, new_strand, score): probes (n, key, old_chrom, old_pos), numbered without gaps, on a new genome.
+
+    hits (key, j, chrom, pos, strand) are the places of each probe in order j. A single place scores 1, none is Unknown and
+    scores 0. A probe of several gets that whose distance to a placed neighbour (n - reach up to n + reach - 1) differs least
+    from the old one, if it is at most `slack` longer: 0.5, in the order of n and then, for those left, against it. The
+    rest are guessed (0.2): the place nearest the old one on its chromosome, with the strand of the first there, else the first.
+    Passes depend on what they placed before only through probes within reach, so runs of such probes are worked out apart.
+    """
+    import pandas as pd
+
+    listed = hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("j", "chrom", "pos", "strand"))).alias("hits"))
+    rows = probes.join(listed, "key", "left").withColumn("copies", F.coalesce(F.size("hits"), F.lit(0)))
+    first = F.get("hits", F.lit(0))
+    clear = rows.where("copies < 2").select("n", "key", F.coalesce(first["chrom"], F.lit("Unknown")).alias("new_chrom"), F.coalesce(first["pos"], F.lit(0)).cast("long").alias("new_pos"), F.coalesce(first["strand"], F.lit("+")).alias("new_strand"), F.col("copies").cast("double").alias("score"))
+    several = islands(rows.where("copies > 1").withColumns({"__all": F.lit(0), "__end": F.col("n")}), ["__all"], "n", "__end", gap=reach)
+    around = several.select("island", F.explode(F.sequence(F.col("n") - reach, F.col("n") + reach - 1)).alias("n")).distinct()
+    fixed = around.join(clear.where("new_chrom <> 'Unknown'").select("n", "new_chrom", "new_pos"), "n").join(probes.select("n", "old_pos"), "n")
+    to_place = several.select("island", "n", F.col("key").cast("string").alias("key"), "old_chrom", "old_pos", "hits", F.lit(None).cast("string").alias("new_chrom"), F.lit(None).cast("long").alias("new_pos"))
+    given = fixed.select("island", "n", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("old_chrom"), "old_pos", F.lit(None).alias("hits"), "new_chrom", "new_pos")
+    together = to_place.unionByName(given)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        old = dict(zip(pdf["n"], pdf["old_pos"]))
+        known = {n: (c, int(p)) for n, c, p, k in zip(pdf["n"], pdf["new_chrom"], pdf["new_pos"], pdf["key"]) if not isinstance(k, str)}
+        todo = sorted(((n, k, c.lower(), p, list(h)) for n, k, c, p, h in zip(pdf["n"], pdf["key"], pdf["old_chrom"], pdf["old_pos"], pdf["hits"]) if isinstance(k, str)), key=lambda probe: probe[0])
+        out = []
+        for turn in (1, -1):
+            left = []
+            for probe in todo[::turn]:
+                n, key, chrom, at, places = probe
+                best = None
+                for m in range(n - reach, n + reach):
+                    if m in known and known[m][0].lower() == chrom:
+                        before = abs(at - old[m])
+                        for h in places:
+                            now = abs(known[m][1] - h["pos"])
+                            if h["chrom"] == known[m][0] and now <= before + slack and (best is None or abs(before - now) < best[0]):
+                                best = (abs(before - now), h)
+                if best is None:
+                    left.append(probe)
+                else:
+                    known[n] = (best[1]["chrom"], best[1]["pos"])
+                    out.append((n, key, best[1]["chrom"], best[1]["pos"], best[1]["strand"], 0.5))
+            todo = sorted(left, key=lambda probe: probe[0])
+        for n, key, chrom, at, places in todo:
+            here = [h for h in places if h["chrom"].lower() == chrom] or places[:1]
+            nearest = min(reversed(here), key=lambda h: abs(h["pos"] - at))
+            out.append((n, key, here[0]["chrom"], nearest["pos"], here[0]["strand"], 0.2))
+        return pd.DataFrame(out, columns=["n", "key", "new_chrom", "new_pos", "new_strand", "score"])
+
+    placed = together.groupBy("island").applyInPandas(work, "n long, key string, new_chrom string, new_pos long, new_strand string, score double")
+    return clear.withColumn("key", F.col("key").cast("string")).unionByName(placed)
+
+
 def predictions_to_bed(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """Gene predictions (contig, a, b, frame, score) as half-open features within their contigs (contig, length)."""
     low, high = F.least("a", "b") - 1, F.greatest("a", "b")

@@ -77,8 +77,9 @@ def approximate_distance(texts: pd.Series, pattern: str) -> pd.Series:
     return pd.Series(best, index=texts.index)
 
 
-def containing(reads: DataFrame, pattern: str, edits: int = 0, either_strand: bool = False, without: bool = False, seq: str = "seq") -> DataFrame:
-    """Reads with a stretch within `edits` edits of the pattern, in either case; exact search stays in generated code."""
+def containing(reads: DataFrame, pattern: str, edits: int = 0, either_strand: bool = False, without: bool = False, seq: str = "seq", substitutions: bool = False) -> DataFrame:
+    """Reads with a stretch within `edits` edits of the pattern, in either case; with `substitutions` no other edits count.
+    Exact search and substitutions are built-in expressions."""
     turned = pattern[::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca"))
     wanted = [pattern.lower()] + [turned.lower()] * either_strand
     text = F.lower(seq)
@@ -86,6 +87,13 @@ def containing(reads: DataFrame, pattern: str, edits: int = 0, either_strand: bo
         hit = F.lit(False)
         for p in wanted:
             hit = hit | F.coalesce(F.contains(text, F.lit(p)), F.lit(False))
+    elif substitutions:
+        last = F.length(text) - len(pattern)
+        starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+        hit = F.lit(False)
+        for p in wanted:
+            near = lambda i: seqs.hamming(F.substr(text, i, F.lit(len(pattern))), F.lit(p)) <= edits  # noqa: B023, E731
+            hit = hit | F.coalesce(F.exists(starts, near), F.lit(False))
     else:
 
         @F.pandas_udf("boolean")

@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict = {}
 FLAGSHIP = "feature_bins_mean"
-MODULES = ("id_queries", "matrix_queries", "interval_queries", "bin_queries", "sequence_queries", "annotation_queries", "statistics_queries", "genome_queries", "format_queries")
+MODULES = ("id_queries", "matrix_queries", "interval_queries", "bin_queries", "sequence_queries", "annotation_queries", "statistics_queries", "genome_queries", "format_queries", "dialect_queries")
 
 
 def query(sql: str | None = None):

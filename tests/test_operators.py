@@ -227,3 +227,47 @@ def test_sequences_are_put_together_from_chunks(spark):
     whole = spark.createDataFrame([("c", text)], "chrom string, seq string")
     found = {r.name: r.seq for r in genome.extracted(bed, whole, size=16).collect()}
     assert found == {"a": text[3:93] + text[103:136] + text[303:480], "b": text[::-1].translate(str.maketrans("ACGT", "TGCA"))}
+
+
+def test_t_quantiles(spark):
+    """Against the values of printed tables."""
+    printed = {1: 12.7062, 2: 4.3027, 3: 3.1824, 4: 2.7764, 10: 2.2281, 30: 2.0423, 40: 2.0211, 120: 1.9799}
+    for row in spark.createDataFrame([(k,) for k in printed], "k int").select("k", stats.t_limit(F.col("k")).alias("t")).collect():
+        assert round(row.t, 4) == printed[row.k]
+    assert abs(stats.t_quantile(31) - spark.range(1).select(stats.t_limit(F.lit(31))).first()[0]) < 1e-6
+
+
+def _placed_plainly(probes, places):
+    """The passes over one list, in memory: probes [(key, chrom, pos)], places key -> [(chrom, pos, strand)]."""
+    new = {i: (*places[p[0]][0], 1.0) if len(places.get(p[0], ())) == 1 else ("Unknown", 0, "+", 0.0) for i, p in enumerate(probes) if len(places.get(p[0], ())) < 2}
+    waiting = [i for i in range(len(probes)) if i not in new]
+    for order in (list, lambda w: w[::-1]):
+        for i in order(waiting):
+            found = []
+            for m in range(max(0, i - 10), min(len(probes), i + 10)):
+                if m in new and new[m][0] != "Unknown" and new[m][0] == probes[i][1]:
+                    apart = abs(probes[i][2] - probes[m][2])
+                    found += [(abs(apart - abs(new[m][1] - pos)), len(found), (c, pos, strand)) for c, pos, strand in places[probes[i][0]] if c == new[m][0] and abs(new[m][1] - pos) <= apart + 200]
+            if found:
+                new[i] = (*min(found, key=lambda f: f[0])[2], 0.5)
+        waiting = [i for i in waiting if i not in new]
+    for i in waiting:
+        own = [p for p in places[probes[i][0]] if p[0] == probes[i][1]]
+        c, pos, strand = own[0] if own else places[probes[i][0]][0]
+        for p in own:
+            pos = p[1] if abs(p[1] - probes[i][2]) <= abs(pos - probes[i][2]) else pos
+        new[i] = (c, pos, strand, 0.2)
+    return new
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_placed_probes(spark, seed):
+    from stratalane.operators import genome
+
+    rng = random.Random(seed)
+    probes = [(f"k{i}", rng.choice("AB"), i * 50) for i in range(150)]
+    places = {k: [(rng.choice("AB"), rng.randrange(max(1, p - 300), p + 300), rng.choice("+-")) for _ in range(rng.choice([0, 1, 1, 1, 2, 3] if seed else [1] * 20 + [2]))] for k, _, p in probes}
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(probes)], "n long, key string, old_chrom string, old_pos long")
+    hits = spark.createDataFrame([(k, j, *h) for k, found in places.items() for j, h in enumerate(found)], "key string, j int, chrom string, pos long, strand string")
+    got = {r.n: (r.new_chrom, r.new_pos, r.new_strand, r.score) for r in genome.placed_probes(frame, hits).collect()}
+    assert got == _placed_plainly(probes, places)
