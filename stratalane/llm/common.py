@@ -105,7 +105,7 @@ class Words:
                 self.learn(fresh[k : k + 20_000])
             self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
             self.seen = np.concatenate([self.seen, np.zeros(len(fresh), dtype=np.int32)])
-            at = self._found(words)
+            at[new] = self._found([words[i] for i in new])
         self.seen[at] += 1
         return at
 

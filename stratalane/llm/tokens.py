@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,16 @@ SLICE = 4 << 20
 #: Pre-tokens of letters, of single digits and of other marks: a mark behind a letter or digit begins one of its own.
 APART = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_END = "\u0250"
+#: Marks at the end of a word that are cut off: those of ASCII but for the one in which special tokens end.
+TAIL = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "|")
+#: Plain words that the library is given at a time, as one text.
+ROW = 512
+
+
+def laid(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some words in a row, and how many each has."""
+    lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+    return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum())), lengths
 
 
 def default_tokenizer() -> str:
@@ -26,8 +36,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _last_bytes(words: pa.Array, at: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The last n bytes of the words at some places; at least one place."""
+    _, offsets, data = words.cast(pa.large_string()).buffers()
+    stops, run = np.frombuffer(offsets, dtype=np.int64)[words.offset + 1 + at], np.cumsum(n, dtype=np.int64)
+    held = np.frombuffer(data, dtype=np.uint8)[np.repeat(stops - run, n) + np.arange(run[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.concatenate([[0], run])), pa.py_buffer(held)])
+
+
 class WordIds(Words):
-    """The ids of distinct words, laid end to end in a pool."""
+    """The ids of distinct words, laid in a pool; ids_of gives the ids of new words in a row and how many each has."""
 
     def __init__(self, ids_of, most: int):
         super().__init__(most)
@@ -36,12 +54,11 @@ class WordIds(Words):
         self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def learn(self, words: list[str]) -> None:
-        found = self.ids_of(words)
-        lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+        ids, lengths = self.ids_of(words)
         need = self.used + int(lengths.sum())
         while need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[self.used : need] = [i for ids in found for i in ids]
+        self.pool[self.used : need] = ids
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths, dtype=np.int64) - lengths])
         self.lengths, self.used = np.concatenate([self.lengths, lengths]), need
 
@@ -74,18 +91,37 @@ class WordEncoder:
         self.folds = lowers and any(str(p.get("pattern", {}).get("Regex", "")).endswith(APART) for p in parts(said["pre_tokenizer"]))
 
         # Words of small Latin letters are one pre-token as they stand, so for these the file's own preparation is left out.
+        # Where words end in tokens of their own, many are encoded as one text and told apart by these.
         if self.folds:
-            said["normalizer"], said["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": [p for p in parts(said["pre_tokenizer"]) if p.get("type") != "Split"]}
-            self.bare = Tokenizer.from_str(json.dumps(said))
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        every = lambda tokenizer, some: [x.ids for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            own = [p for p in parts(said["pre_tokenizer"]) if p.get("type") != "Split"]
+            said["normalizer"], said["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *own]}
+            self.bare, suffix = Tokenizer.from_str(json.dumps(said)), said["model"].get("end_of_word_suffix")
+            self.ends = np.zeros(self.largest + 1, dtype=bool)
+            self.ends[[i for token, i in self.bare.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+
+    def _every(self, tokenizer, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As laid(); words of small Latin letters only."""
+        rows = self._every(self.bare, [" ".join(words[k : k + ROW]) for k in range(0, len(words), ROW)])
+        ids = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=sum(map(len, rows)))
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words) or len(last) and last[-1] + 1 != len(ids):
+            return laid(self._every(self.bare, words))
+        return ids, np.diff(last, prepend=-1).astype(np.int32)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.folds:
-            return every(self.tokenizer, words)
-        plain = [w.isalpha() and max(w) < LATIN_END and w == w.lower() for w in words]
-        bare = iter(every(self.bare, list(compress(words, plain))))
-        other = iter(every(self.tokenizer, [w for w, p in zip(words, plain) if not p]))
-        return [next(bare) if p else next(other) for p in plain]
+            return laid(self._every(self.tokenizer, words))
+        plain = np.array([w.islower() and w.isalpha() and (w.isascii() or max(w) < LATIN_END and w == w.lower()) for w in words], dtype=bool)
+        one, other = self._plain(list(compress(words, plain))), laid(self._every(self.tokenizer, list(compress(words, ~plain))))
+        lengths = np.empty(len(words), dtype=np.int32)
+        lengths[plain], lengths[~plain] = one[1], other[1]
+        ids = np.empty(len(one[0]) + len(other[0]), dtype=np.int32)
+        at = np.repeat(plain, lengths)
+        ids[at], ids[~at] = one[0], other[0]
+        return ids, lengths
 
     def _apart(self, letter: str) -> bool:
         """Whether the file sets marks apart from this letter: not where its normal form ends in a mark, as that of İ does."""
@@ -99,20 +135,23 @@ class WordEncoder:
         distinct, codes, offsets = words_of(text)
         if not self.folds:
             return distinct.to_pylist(), np.arange(len(distinct))[:, None], codes, offsets
-        # Letters with marks to combine may compose by case, and special tokens have theirs.
+        # Letters with marks to combine may compose by case, and special tokens have theirs; none is cut, as these end in "|>".
         fixed = pc.match_substring_regex(distinct, r"\pM|<\|")
         low = pc.if_else(fixed, distinct, pc.ascii_lower(distinct))
-        cut = pc.extract_regex(low, r"^(?P<core>.*[\pL\pN])(?P<tail>[.,;:!?]+)$")
-        core, tail = pc.struct_field(cut, "core"), pc.struct_field(cut, "tail")
-        last = pc.utf8_slice_codeunits(core, -1).dictionary_encode()
-        joins = [c for c in last.dictionary.to_pylist() if not self._apart(c)]
-        if joins:
-            hit = pc.is_in(pc.utf8_slice_codeunits(core, -1), pa.array(joins, type=last.dictionary.type))
-            core, tail = (pc.if_else(hit, pa.scalar(None, x.type), x) for x in (core, tail))
-        core = pc.coalesce(core, low).dictionary_encode()
-        tail = pc.coalesce(tail, pa.scalar("", core.dictionary.type)).dictionary_encode()
-        parts = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(core.dictionary)], axis=1)
-        return core.dictionary.to_pylist() + tail.dictionary.to_pylist(), parts, codes, offsets
+        core = pc.ascii_rtrim(low, TAIL)
+        size, whole = (pc.binary_length(x).to_numpy() for x in (core, low))
+        cut = np.flatnonzero((size < whole) & (size > 0))
+        last = pc.utf8_slice_codeunits(core.take(pa.array(cut)), -1).dictionary_encode()
+        cut = cut[np.array([self._apart(c) for c in last.dictionary.to_pylist()], dtype=bool)[last.indices.to_numpy()]]
+        apart = np.zeros(len(low), dtype=bool)
+        apart[cut] = True
+        core = pc.if_else(pa.array(apart), core, low).dictionary_encode()
+        tails, tail = [""], np.zeros(len(low), dtype=np.int64)
+        if len(cut):
+            found = _last_bytes(low, cut, (whole - size)[cut]).dictionary_encode()
+            tails, tail[cut] = [*tails, *found.dictionary.to_pylist()], found.indices.to_numpy() + 1
+        parts = np.stack([core.indices.to_numpy(), tail + len(core.dictionary)], axis=1)
+        return core.dictionary.to_pylist() + tails, parts, codes, offsets
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text begins in them (one more at the end)."""

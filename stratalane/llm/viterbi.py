@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from stratalane.llm.common import text_slices, worker_state
 from stratalane.llm.pieces import SPACE, Pieces, default_pieces, segments_of
-from stratalane.llm.tokens import MAX_WORDS, WordEncoder, WordIds
+from stratalane.llm.tokens import MAX_WORDS, WordEncoder, WordIds, laid
 
 
 def stream(chars: Iterable[str], pieces: Pieces) -> Iterator[list[int]]:
@@ -90,8 +90,8 @@ class SentenceEncoder(WordEncoder):
         ids = [encode_word(SPACE + t.replace(" ", SPACE) if t else "", self.pieces) for t in text.to_pylist()]
         return np.array([i for x in ids for i in x], dtype=np.int32), np.cumsum([0, *map(len, ids)])
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        return [encode_word(w, self.pieces) for w in words]
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return laid([encode_word(w, self.pieces) for w in words])
 
     def _split(self, text: pa.Array):
         words, codes, offsets = segments_of(text)

@@ -39,7 +39,7 @@ ODD = "İıſKÅßẞΣςŉǰ\u0958\ufb2aﬁ\u0301\u0307\u0327\xa0\u2028\u200baB
 
 def test_texts_of_odd_letters_are_as_the_library_has_them():
     rng = random.Random(5)
-    parts = [*ODD, "<|endoftext|>", "<|startoftext|>", "<|", "|>", "'s", "'S", "don't", "...", "!?", "  "]
+    parts = [*ODD, "<|endoftext|>", "<|startoftext|>", "<|", "|>", "'s", "'S", "don't", "...", "!?", "  ", "***", ",$$$", "'", "\"", "`", "|", "<", ">", "=", "~", "#", "%&", "/", "\\", "[", "]", "{", "}", "^", "+", "@"]
     texts = ["".join(rng.choice(parts) if rng.random() < 0.8 else chr(rng.randrange(0x20, 0x3100)) for _ in range(rng.randrange(25))) for _ in range(20_000)]
     # Every letter and digit before a mark, as some have normal forms that end in one.
     letters = [chr(c) for c in range(0x80, 0x3100) if unicodedata.category(chr(c))[0] in "LN"]
