@@ -196,17 +196,19 @@ def bed_violations(bed: DataFrame) -> DataFrame:
 def collapsed(transcripts_: DataFrame, name: str = "tx") -> DataFrame:
     """Transcripts that share exons, directly or through others, as one: (chrom, strand, s, e, starts, ends, names).
 
-    Exons are merged to islands by strand; transcript and island are linked, and classes of links are found by joins.
+    Exons are merged to islands by strand; each transcript is linked to the least name of its island, and classes of links
+    are found by joins. Rows without a name are left out.
     """
     from stratalane.operators.graphs import components
     from stratalane.operators.intervals import islands
 
-    parts = exons(transcripts_, (name, "chrom", "strand")).withColumn("__last", F.col("e") - 1)
+    parts = exons(transcripts_.where(F.col(name).isNotNull()), (name, "chrom", "strand")).withColumn("__last", F.col("e") - 1)
     spots = islands(parts, ("chrom", "strand"), "s", "__last")
-    node = lambda *c: F.xxhash64(*c)
-    links = spots.select(node(F.lit("t"), F.col(name)).alias("a"), node(F.lit("x"), "chrom", "strand", "island").alias("b")).distinct()
-    root = components(links)
-    named = spots.withColumn("__n", node(F.lit("t"), F.col(name))).join(root, F.col("__n") == F.col("node"))
+    least = spots.groupBy("chrom", "strand", "island").agg(F.min(name).alias("b"))
+    own, other = spots.alias("own"), least.alias("least")
+    same = [F.col(f"own.{c}").eqNullSafe(F.col(f"least.{c}")) for c in ("chrom", "strand", "island")]
+    root = components(own.join(other, same).select(F.col(f"own.{name}").alias("a"), "b").distinct())
+    named = spots.join(root, F.col(name) == F.col("node"))
     blocks = named.groupBy("root", "chrom", "strand", "island").agg(F.max("e").alias("e"), F.collect_set(F.col(name).cast("string")).alias("t"))
     return blocks.groupBy("root", "chrom", "strand").agg(F.sort_array(F.collect_list(F.struct(F.col("island").alias("s"), "e"))).alias("b"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))), "|").alias("names")).select(
         "chrom", "strand", F.col("b")[0]["s"].alias("s"), F.array_max(F.transform("b", lambda x: x["e"])).alias("e"), F.transform("b", lambda x: x["s"]).alias("starts"), F.transform("b", lambda x: x["e"]).alias("ends"), "names")

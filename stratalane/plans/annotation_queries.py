@@ -142,6 +142,12 @@ def transcript_ends(spark, sf_dir):
     return rows.select(*KEY, F.col("tss.s").alias("tss"), F.col("tts.e").alias("tts_end"), "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {GTF}, x AS (SELECT DISTINCT chrom, strand, tx || '.' || chrom AS tx, s, e FROM gtf),
+m AS (SELECT *, max(e - 1) OVER (PARTITION BY chrom, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM x),
+i AS (SELECT *, max(CASE WHEN far IS NULL OR s > far THEN s END) OVER (PARTITION BY chrom, strand ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+l AS (SELECT DISTINCT a.tx AS a, b.tx AS b FROM i a JOIN i b USING (chrom, strand, island)),
+r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen), c AS (SELECT node, min(seen) AS root FROM r GROUP BY node),
+k AS (SELECT root, chrom, strand, island, max(e) AS e, list(DISTINCT tx) AS t FROM i JOIN c ON tx = node GROUP BY ALL)
+SELECT chrom, strand, min(island) AS s, max(e) AS e, list(island ORDER BY island) AS starts, list(e ORDER BY island) AS ends, array_to_string(list_sort(list_distinct(flatten(list(t)))), '|') AS names FROM k GROUP BY root, chrom, strand""")
 def transcripts_collapsed(spark, sf_dir):
     return annotation.collapsed(annotation.transcripts(_exons(spark, sf_dir)))

@@ -113,7 +113,7 @@ def reads_containing(spark, sf_dir):
     return reads.containing(read_table(spark, sf_dir), "ACGTA", either_strand=True).select("id")
 
 
-@query()
+@query(f"WITH {READS} SELECT id FROM reads WHERE len(list_filter(range(1, length(seq) + 1), lambda i: len(list_filter(range(8, 13), lambda n: levenshtein(substr(seq, i, n), 'ACGTACGTAC') <= 2)) > 0)) > 0")
 def reads_containing_approximately(spark, sf_dir):
     return reads.containing(read_table(spark, sf_dir), "ACGTACGTAC", edits=2).select("id")
 
