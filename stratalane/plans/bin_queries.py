@@ -85,7 +85,7 @@ def feature_bins_tenth(spark, sf_dir):
 
 @query(f"""WITH {FEAT}, {SIG} SELECT id, CASE WHEN strand = '+' THEN pos - s ELSE e - pos END AS rel, max(v) AS v FROM feat JOIN sig ON feat.chrom = sig.chrom AND pos >= s AND pos < e GROUP BY ALL""")
 def feature_relative(spark, sf_dir):
-    return bins.relative(features(spark, sf_dir), signal(spark, sf_dir), 100).where("type = 'f'").select("id", "rel", "v")
+    return bins.relative(features(spark, sf_dir), signal(spark, sf_dir), 100, ("f",)).select("id", "rel", "v")
 
 
 @query(f"""WITH {SIG}, g AS (SELECT chrom, x * 5000 AS x, CAST(round(v * 100) AS BIGINT) AS v FROM sig, unnest(range(CAST(ceil((pos - 2000) / 5000) AS BIGINT), CAST(floor((pos + 2000) / 5000) AS BIGINT) + 1)) AS u(x))
