@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalane.functions import sequences as seqs
+from stratalane.operators import tiles
 from stratalane.operators.intervals import islands, overlap_join
 
 CHUNK = 1 << 16
@@ -304,8 +305,40 @@ def insert_sizes(alignments: DataFrame, name: str) -> DataFrame:
 def region_values(regions: DataFrame, track: DataFrame) -> DataFrame:
     """(id, values): what a track (chrom, s, e, v) has at each place of regions, 0 where it has nothing, turned on the minus strand.
 
-    Coordinates are inclusive; where pieces of the track overlap the greatest value counts.
+    Coordinates are inclusive; where pieces of the track overlap the greatest value counts. Regions that fit a tile meet the
+    track's places there; longer ones are joined with it.
     """
+    kind = track.schema["v"].dataType
+    points = track.select("chrom", F.explode(F.sequence("s", "e")).alias("pos"), "v").where("v IS NOT NULL AND s <= e").groupBy("chrom", "pos").agg(F.max("v").alias("v"))
+    once = regions.groupBy("id").agg(F.count("*").alias("__n"), F.first(F.struct("chrom", "s", "e", "strand")).alias("x"))
+    fits = F.coalesce((F.col("__n") == 1) & F.col("x.chrom").isNotNull() & (F.col("x.e") >= F.col("x.s")) & (F.col("x.e") - F.col("x.s") < tiles.TILE), F.lit(False))
+    short = once.where(fits).select("id", "x.*")
+    payload = F.struct("id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.coalesce(F.col("strand") == "-", F.lit(False)).alias("minus"))
+
+    def work(rows, places, values):
+        import numpy as np
+        import pyarrow as pa
+
+        s, e, minus = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e", "minus"))
+        v = values.to_numpy(zero_copy_only=False)
+        for a, z in tiles.chunks(e - s + 1):
+            first, last, n = s[a:z], e[a:z], e[a:z] - s[a:z] + 1
+            starts = np.cumsum(n) - n
+            out = np.zeros(int(n.sum()), v.dtype if len(v) else "i8")
+            k, i = tiles.met(places, first, last)
+            out[starts[k] + np.where(minus[a:z][k], last[k] - places[i], places[i] - first[k])] = v[i]
+            listed = pa.ListArray.from_arrays(pa.array(np.append(starts, len(out)), pa.int32()), pa.array(out).cast(values.type))
+            yield pa.RecordBatch.from_arrays([rows.field("id").slice(a, z - a), listed], ["id", "values"])
+
+    schema = f"id {regions.schema['id'].dataType.simpleString()}, values array<{kind.simpleString()}>"
+    found = tiles.beside(short.select("chrom", F.col("s").alias("first"), F.col("e").alias("last"), payload.alias("payload")), points, work, schema)
+    ids = once.where(~fits).select("id")
+    if ids.isEmpty():
+        return found
+    return found.unionByName(_long_region_values(regions.join(ids.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left_semi"), track))
+
+
+def _long_region_values(regions: DataFrame, track: DataFrame) -> DataFrame:
     met = overlap_join(regions.select("id", "chrom", "s", "e"), track.select("chrom", "s", "e", "v"))
     at = F.explode(F.sequence(F.greatest("s1", "s2"), F.least("e1", "e2")))
     found = met.select(F.col("id1").alias("id"), at.alias("p"), F.col("v2").alias("v")).groupBy("id", "p").agg(F.max("v").alias("v"))
