@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalane.functions import sequences as seqs
+from stratalane.session import written
 
 
 def genotype_matrix(calls: DataFrame, variant: str, sample: str, genotype: str) -> DataFrame:
@@ -28,13 +29,35 @@ def calls(table: DataFrame, variant: str, sample: str, genotype: str, bases: Col
     return rows.groupBy(sample).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]), "").alias("calls"))
 
 
+def _first_of(genes: DataFrame) -> DataFrame:
+    """(chrom, s, e, gene, gs): disjoint stretches and the first gene, by (gs, gene), of those (chrom, s, e, gs, gene) over each.
+
+    Starts rise with gs, so a gene is the first one exactly where it goes on beyond the ends of all before it.
+    """
+    from stratalane.operators.intervals import running
+
+    rows = running(genes.where("s <= e"), ("chrom",), ("s", "gene"), {"__far": ("max", "e")})
+    return rows.where("__far IS NULL OR e > __far").select("chrom", F.greatest(F.col("s"), F.coalesce(F.col("__far") + 1, F.col("s"))).alias("s"), "e", "gs", "gene")
+
+
 def annotated(variants: DataFrame, genes: DataFrame, promoter: int = 500) -> DataFrame:
-    """(id, gene, place) of point variants (id, chrom, pos): in the first gene that holds them, else in a promoter, else null."""
+    """(id, gene, place) of point variants (id, chrom, pos): in the first gene that holds them, else in a promoter, else null.
+
+    Asked of distinct places: genes are reduced to disjoint stretches of which one at most holds a place, promoters to one
+    a stretch, and those are asked only of places in no gene, so that work grows with genes and places, not their pairs.
+    """
     from stratalane.operators.intervals import overlap_join
 
-    reach = genes.select("chrom", "gene", "strand", F.col("s").alias("gs"), F.col("e").alias("ge"), F.when(F.col("strand") == "+", F.col("s") - promoter).otherwise(F.col("s")).alias("s"), F.when(F.col("strand") == "+", F.col("e")).otherwise(F.col("e") + promoter).alias("e"))
-    hits = overlap_join(variants.select("id", "chrom", F.col("pos").alias("s"), F.col("pos").alias("e")), reach)
-    inside = F.col("s1").between(F.col("gs2"), F.col("ge2"))
-    best = F.min(F.struct(F.when(inside, 0).otherwise(1).alias("k"), F.col("gs2"), F.col("gene2").alias("gene")))
-    found = hits.groupBy(F.col("id1").alias("id")).agg(best.alias("b"))
+    plus = F.coalesce(F.col("strand") == "+", F.lit(False))
+    body = genes.where("chrom IS NOT NULL").select("chrom", "s", "e", F.col("s").alias("gs"), "gene").groupBy("chrom", "s", "e", "gs").agg(F.min("gene").alias("gene"))
+    before = (F.col("s") - promoter, F.least(F.col("s") - 1, F.col("e")))
+    after = (F.greatest(F.col("s"), F.col("e") + 1), F.col("e") + promoter)
+    side = genes.where("chrom IS NOT NULL").select("chrom", F.when(plus, before[0]).otherwise(after[0]).alias("s"), F.when(plus, before[1]).otherwise(after[1]).alias("e"), F.struct(F.col("s").alias("gs"), "gene").alias("g"))
+    side = side.where("s <= e").groupBy("chrom", "s", "e").agg(F.min("g").alias("g")).select("chrom", "s", "e", "g.gs", "g.gene")
+    places = variants.select("chrom", F.col("pos").alias("s"), F.col("pos").alias("e")).where("chrom IS NOT NULL AND s IS NOT NULL").distinct()
+    answer = lambda hits, k: hits.groupBy(F.col("chrom1").alias("chrom"), F.col("s1").alias("pos")).agg(F.min(F.struct(F.lit(k).alias("k"), F.col("gs2").alias("gs"), F.col("gene2").alias("gene"))).alias("b"))
+    inside = written(answer(overlap_join(places, _first_of(body)), 0), "inside")
+    rest = places.join(inside.select("chrom", F.col("pos").alias("s")), ["chrom", "s"], "left_anti").select("chrom", "s", "e")
+    best = inside.unionByName(answer(overlap_join(rest, side), 1))
+    found = variants.join(best, ["chrom", "pos"]).groupBy("id").agg(F.min("b").alias("b"))
     return variants.select("id").join(found, "id", "left").select("id", F.col("b.gene").alias("gene"), F.when(F.col("b.k") == 0, "gene").when(F.col("b.k") == 1, "promoter").alias("place"))
