@@ -1,7 +1,7 @@
 """Readers of delimited tables and of annotation, track, alignment and sequence formats.
 
 All read through Spark, so any store and any split size will do, and compressed files go by their extension. Formats
-whose records span lines are read with a record separator where they have one, and otherwise by a file at a time.
+whose records span lines are read with a record separator where they have one, or by numbered lines; FASTQ by a file at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalane.operators import annotation
+from stratalane.operators.intervals import running
+from stratalane.session import written
 
 BED = ("chrom", "start", "end", "name", "score", "strand", "thick_start", "thick_end", "rgb", "block_count", "block_sizes", "block_starts")
 GFF = ("chrom", "source", "feature", "start", "end", "score", "strand", "frame", "attrs")
@@ -79,27 +81,37 @@ def bedgraph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, value): lines in the order of their file. Formats whose headers reach down to later lines need the file whole."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
-    return files.select("file", F.posexplode("l").alias("n", "value")).where(~F.col("value").rlike(r"^\s*$|^\s*#|^(track|browser)(\s|$)"))
+    """(file, n, value): lines by their number in their file. Files are read in splits, whose lines are counted to number them.
+
+    Lines are laid down once, as another reading could be split in another way.
+    """
+    raw = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("block"), F.monotonically_increasing_id().alias("m"), F.regexp_replace("value", "\r$", "").alias("value"))
+    raw = written(raw, "lines")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "block").agg(F.min("m").alias("__m"), F.count("*").alias("__many"))  # one row a split
+    splits = splits.select("file", "block", (F.coalesce(F.sum("__many").over(before), F.lit(0)) - F.col("__m")).alias("__shift"))
+    rows = raw.where(~F.col("value").rlike(r"^\s*$|^\s*#|^(track|browser)(\s|$)")).join(F.broadcast(splits), ["file", "block"])
+    return rows.select("file", (F.col("m") + F.col("__shift")).alias("n"), "value")
 
 
-def _carried(value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(Window.partitionBy("file").orderBy("n"))
+def _headed(rows: DataFrame, head: Column, /, **said: Column) -> DataFrame:
+    """Rows that are no heads, below the last head of their file before them, if any: what it said, its number `at` and the row's
+    number `k` since it. Files are worked through in slices of lines."""
+    rows = rows.withColumn("__head", F.coalesce(head, F.lit(False))).withColumn("__one", F.when(F.col("__head"), 0).otherwise(1))
+    rows = running(rows, ("file",), ("n",), {"__k": ("sum", "__one")})
+    rows = rows.withColumn("__of", F.when(F.col("__head"), F.struct(F.col("n").alias("at"), F.col("__k").alias("k"), *(c.alias(c_) for c_, c in said.items()))))
+    body = running(rows, ("file",), ("n",), {"__last": ("max", "__of")}).where("NOT __head")
+    return body.select("file", "n", "value", *(F.col(f"__last.{c}").alias(c) for c in ("at", *said)), (F.col("__k") - F.col("__last.k")).alias("k"))
 
 
 def wig(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, span, v, v2) of fixedStep and variableStep tracks; v2 is the second strand's value where there is one."""
-    rows = _numbered(spark, path)
-    head = F.col("value").rlike("^(fixedStep|variableStep)")
-    field = lambda name, otherwise=None: F.when(head, F.coalesce(F.nullif(F.regexp_extract("value", rf"{name}=(\S+)", 1), F.lit("")), F.lit(otherwise)))
-    rows = rows.withColumns({"kind": _carried(F.when(head, F.regexp_extract("value", r"^(\w+)", 1))), "chrom": _carried(field("chrom")), "first": _carried(field("start", "1")), "step": _carried(field("step", "1")), "span": _carried(field("span", "1")), "at": _carried(F.when(head, F.col("n")))})
-    body = rows.where(~head)
-    rank = F.row_number().over(Window.partitionBy("file", "at").orderBy("n")) - 1
+    field = lambda name, otherwise=None: F.coalesce(F.nullif(F.regexp_extract("value", rf"{name}=(\S+)", 1), F.lit("")), F.lit(otherwise))
+    body = _headed(_numbered(spark, path), F.col("value").rlike("^(fixedStep|variableStep)"), kind=F.regexp_extract("value", r"^(\w+)", 1), chrom=field("chrom"), first=field("start", "1"), step=field("step", "1"), span=field("span", "1"))
     parts = F.split(F.trim("value"), r"\s+")
     fixed = F.col("kind") == "fixedStep"
     number = lambda i: F.get(parts, F.lit(i)).try_cast("double")
-    return body.withColumn("k", rank).select("chrom", F.when(fixed, F.col("first").cast("long") + F.col("step").cast("long") * F.col("k")).otherwise(F.get(parts, F.lit(0)).try_cast("long")).alias("pos"), F.col("span").cast("long").alias("span"), F.when(fixed, number(0)).otherwise(number(1)).alias("v"), F.when(~fixed, number(2)).alias("v2"))
+    return body.select("chrom", F.when(fixed, F.col("first").cast("long") + F.col("step").cast("long") * F.col("k")).otherwise(F.get(parts, F.lit(0)).try_cast("long")).alias("pos"), F.col("span").cast("long").alias("span"), F.when(fixed, number(0)).otherwise(number(1)).alias("v"), F.when(~fixed, number(2)).alias("v2"))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -202,10 +214,8 @@ def gene_sets(spark: SparkSession, path: str, described: bool = False) -> DataFr
 
 def blocks(spark: SparkSession, path: str, head: str) -> DataFrame:
     """(file, block, head, n, value): lines under the last line above them that matches `head`, as in block and brace formats."""
-    rows = _numbered(spark, path)
-    is_head = F.col("value").rlike(head)
-    rows = rows.withColumns({"block": _carried(F.when(is_head, F.col("n"))), "head": _carried(F.when(is_head, F.col("value")))})
-    return rows.where(~is_head & F.col("block").isNotNull())
+    rows = _headed(_numbered(spark, path), F.col("value").rlike(head), head=F.col("value")).where("at IS NOT NULL")
+    return rows.select("file", F.col("at").alias("block"), "head", "n", "value")
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
