@@ -21,8 +21,10 @@ def _c(x: Column | str) -> Column:
 
 def parsed(attrs: Column | str) -> Column:
     """A bag from `key "value"; ...` or `key=value;...`."""
-    parts = F.regexp_extract_all(_c(attrs), F.lit(r'[^\s;="]+(?:[\s=]+(?:"[^"]*"|[^;"]*))?'), F.lit(0))
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r'^([^\s=]+)', 1).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(p, r'^[^\s=]+[\s=]+([\s\S]*)$', 1)), r'^"|"$', "").alias("v")))
+    entry = F.lit(r'([^\s;="]+)(?:[\s=]+("[^"]*"|[^;"]*))?')
+    keys, said = (F.regexp_extract_all(_c(attrs), entry, F.lit(i)) for i in (1, 2))
+    # A value in quotes has none within, and one without quotes has none at all.
+    return F.zip_with(keys, said, lambda k, v: F.struct(k.alias("k"), F.replace(F.trim(v), F.lit('"'), F.lit("")).alias("v")))
 
 
 def written_bag(bag: Column | str, bare: Sequence[str] = ("exon_number",)) -> Column:
@@ -47,8 +49,10 @@ def counted(rows: DataFrame, bag: str, keys: Sequence[str], gene: str = "gene_id
 
 def filtered(rows: DataFrame, bag: str, key: str, ids: DataFrame, id_column: str, anti: bool = False) -> DataFrame:
     """Rows with an attribute among the ids; those without the attribute count as not among them."""
-    wanted = ids.select(F.col(id_column).cast("string").alias("__id")).distinct()
-    return rows.withColumn("__id", value(bag, key)).join(wanted, "__id", "left_anti" if anti else "left_semi").select(rows.columns)
+    id = F.col(id_column).cast("string")
+    # A struct is never null, so that no filter on the value makes Spark parse the bag a second time.
+    wanted = ids.where(id.isNotNull()).select(F.struct(id.alias("id")).alias("__id")).distinct()
+    return rows.withColumn("__id", F.struct(value(bag, key).alias("id"))).join(wanted, "__id", "left_anti" if anti else "left_semi").select(rows.columns)
 
 
 def set_attribute(rows: DataFrame, bag: str, match: str, table: DataFrame, key: str, new: str, target: str, default: str | None = None) -> DataFrame:
