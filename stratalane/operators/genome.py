@@ -13,6 +13,8 @@ from stratalane.operators.intervals import islands, overlap_join
 from stratalane.session import written
 
 CHUNK = 1 << 16
+#: Columns of a piece of an alignment, and positions of the bins in which pieces meet probes; at most 127.
+PIECE = 64
 
 
 def extracted(bed: DataFrame, genome: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -70,17 +72,42 @@ def scaffold_parts(scaffolds: DataFrame, least: int, gap: int) -> DataFrame:
     return kept.select("id", (stop - F.col("n") + 1).alias("object_start"), stop.alias("object_end"), F.count("*").over(run).alias("part"), F.when(F.col("is_gap"), "N").otherwise("W").alias("kind"), name.alias("contig"), F.col("n").alias("length"))
 
 
+def _aligned_pieces(blocks: DataFrame, size: int = PIECE) -> DataFrame:
+    """(block, syn_chrom, syn_at, ref_chrom, ref_at, steps): pieces of alignment blocks of so many columns each.
+
+    A piece has a step for each residue of its second sequence: how many of the first one lie before it in the piece.
+    """
+    cut = lambda c: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    letters = lambda x: F.length(F.translate(x, "-", ""))
+    pairs = F.filter(F.arrays_zip(cut("ref_aln").alias("r"), cut("syn_aln").alias("q")), lambda x: x["r"].isNotNull() & x["q"].isNotNull())
+    start = lambda c: F.lit(0).cast("long").alias(c)
+    before = F.aggregate(pairs, F.struct(start("r"), start("q"), F.array().cast("array<struct<r:bigint,q:bigint>>").alias("all")), lambda a, x: F.struct((a["r"] + letters(x["r"])).alias("r"), (a["q"] + letters(x["q"])).alias("q"), F.concat(a["all"], F.array(F.struct(a["r"].alias("r"), a["q"].alias("q")))).alias("all")))["all"]
+    rows = blocks.select("block", "ref_chrom", "ref_start", "syn_chrom", "syn_start", F.explode(F.arrays_zip(pairs.alias("x"), before.alias("b"))).alias("__p"))
+    r, q = F.col("__p.x.r"), F.col("__p.x.q")
+    columns = F.filter(F.sequence(F.lit(1), F.least(F.length(r), F.length(q))), lambda i: F.substr(q, i, F.lit(1)) != "-")
+    steps = F.transform(columns, lambda i: letters(F.substr(r, F.lit(1), i - 1)).cast("tinyint"))
+    return rows.select("block", "syn_chrom", (F.col("syn_start") + F.col("__p.b.q")).alias("syn_at"), "ref_chrom", (F.col("ref_start") + F.col("__p.b.r")).alias("ref_at"), steps.alias("steps"))
+
+
 def aligned_positions(blocks: DataFrame) -> DataFrame:
     """(block, syn_chrom, syn_pos, ref_chrom, ref_pos) of each aligned residue of the second sequence of alignment blocks.
 
     Blocks have ref_chrom, ref_start, ref_aln, syn_chrom, syn_start, syn_aln, with gaps as "-".
     """
-    own = ["block", "ref_chrom", "ref_start", "syn_chrom", "syn_start"]
-    columns = blocks.select(*own, F.posexplode(F.arrays_zip(F.split("ref_aln", "").alias("r"), F.split("syn_aln", "").alias("q"))).alias("k", "x")).where("x.r <> '' AND x.q <> ''")
-    before = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    passed = lambda side: F.coalesce(F.count(F.when(F.col(f"x.{side}") != "-", 1)).over(before), F.lit(0))
-    placed = columns.withColumn("ref_pos", F.col("ref_start") + passed("r")).withColumn("syn_pos", F.col("syn_start") + passed("q"))
-    return placed.where("x.q <> '-'").select("block", "syn_chrom", "syn_pos", "ref_chrom", "ref_pos")
+    rows = _aligned_pieces(blocks).select("*", F.posexplode("steps").alias("__i", "__step"))
+    return rows.select("block", "syn_chrom", (F.col("syn_at") + F.col("__i")).alias("syn_pos"), "ref_chrom", (F.col("ref_at") + F.col("__step")).alias("ref_pos"))
+
+
+def probes_across(blocks: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (syn_chrom, syn_pos and more) with block, ref_chrom and ref_pos of each residue of aligned_positions() at their place.
+
+    Pieces of blocks and probes meet in bins; residues are no rows before they are met.
+    """
+    last = F.col("syn_at") + F.size("steps") - 1
+    filed = _aligned_pieces(blocks).where("size(steps) > 0").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("syn_at") / PIECE), F.floor(last / PIECE))))
+    met = filed.join(probes.withColumn("__bin", F.floor(F.col("syn_pos") / PIECE)), ["syn_chrom", "__bin"]).where(F.col("syn_pos").between(F.col("syn_at"), last))
+    step = F.get("steps", (F.col("syn_pos") - F.col("syn_at")).cast("int"))
+    return met.select(*probes.columns, "block", "ref_chrom", (F.col("ref_at") + step).alias("ref_pos"))
 
 
 def first_seen_scores(blocks: DataFrame, name: str, order: str, step: int = 40, base: int = 0) -> DataFrame:

@@ -60,7 +60,7 @@ def probes_across_alignments(spark, sf_dir):
     blocks = read_table(spark, sf_dir).select(k.alias("block"), name("r", 3).alias("ref_chrom"), (k * 10).alias("ref_start"), F.translate("seq", "T", "-").alias("ref_aln"), name("s", 5).alias("syn_chrom"), (k * 20).alias("syn_start"), F.translate(F.reverse("seq"), "G", "-").alias("syn_aln"))
     o = F.col("l_orderkey")
     probes = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), (o % 5).cast("string")).alias("syn_chrom"), (o * 20 + F.col("l_linenumber")).alias("syn_pos"), F.col("l_partkey").alias("probe"))
-    return genome.aligned_positions(blocks).join(probes, ["syn_chrom", "syn_pos"]).select("probe", "block", "ref_chrom", "ref_pos")
+    return genome.probes_across(blocks, probes).select("probe", "block", "ref_chrom", "ref_pos")
 
 
 @query("WITH f AS (SELECT o_custkey % 7 AS chrom, min(o_orderkey) AS k FROM orders GROUP BY ALL), r AS (SELECT chrom, 40 * (dense_rank() OVER (ORDER BY k) - 1) AS score FROM f) SELECT o_orderkey AS id, score FROM orders JOIN r ON r.chrom = o_custkey % 7")
