@@ -198,21 +198,39 @@ def bed_violations(bed: DataFrame) -> DataFrame:
 
 
 def collapsed(transcripts_: DataFrame, name: str = "tx") -> DataFrame:
+    """collapsed_exons() of transcript rows with their blocks."""
+    return collapsed_exons(exons(transcripts_, (name, "chrom", "strand")), name)
+
+
+def collapsed_exons(parts: DataFrame, name: str = "tx") -> DataFrame:
     """Transcripts that share exons, directly or through others, as one: (chrom, strand, s, e, starts, ends, names).
 
-    Exons are merged to islands by strand; each transcript is linked to the least name of its island, and classes of links
-    are found by joins. Rows without a name are left out.
+    parts are half-open exon rows (name, chrom, strand, s, e), repeated or not. Islands are made of one row a start, not of
+    exons, and it is islands that are linked by the names they share: classes are sought among islands of which a name has
+    several, so that names are in no round of joins. Rows without a name are left out.
     """
     from stratalane.operators.graphs import components
     from stratalane.operators.intervals import islands
-
-    parts = exons(transcripts_.where(F.col(name).isNotNull()), (name, "chrom", "strand")).withColumn("__last", F.col("e") - 1)
-    spots = islands(parts, ("chrom", "strand"), "s", "__last")
-    least = spots.groupBy("chrom", "strand", "island").agg(F.min(name).alias("b"))
-    own, other = spots.alias("own"), least.alias("least")
-    same = [F.col(f"own.{c}").eqNullSafe(F.col(f"least.{c}")) for c in ("chrom", "strand", "island")]
-    root = components(own.join(other, same).select(F.col(f"own.{name}").alias("a"), "b").distinct())
-    named = spots.join(root, F.col(name) == F.col("node"))
-    blocks = named.groupBy("root", "chrom", "strand", "island").agg(F.max("e").alias("e"), F.collect_set(F.col(name).cast("string")).alias("t"))
-    return blocks.groupBy("root", "chrom", "strand").agg(F.sort_array(F.collect_list(F.struct(F.col("island").alias("s"), "e"))).alias("b"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))), "|").alias("names")).select(
-        "chrom", "strand", F.col("b")[0]["s"].alias("s"), F.array_max(F.transform("b", lambda x: x["e"])).alias("e"), F.transform("b", lambda x: x["s"]).alias("starts"), F.transform("b", lambda x: x["e"]).alias("ends"), "names")
+    from stratalane.session import written
+
+    place = ("chrom", "strand")
+    parts = parts.where(F.col(name).isNotNull()).select(name, *place, "s", "e")
+    starts = parts.groupBy(*place, "s").agg(F.max("e").alias("e")).withColumn("__last", F.col("e") - 1)
+    spots = written(islands(starts, place, "s", "__last").select(*place, "s", "e", "island"), "spots")
+    runs = written(spots.groupBy(*place, "island").agg(F.max("e").alias("e")).withColumn("no", F.monotonically_increasing_id()), "runs")
+
+    def met(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+        own, other = rows.alias("own"), table.select(*(F.col(c).alias(f"__{c}") for c in on), *(c for c in table.columns if c not in on))
+        return own.join(other, [F.col(f"own.{c}").eqNullSafe(F.col(f"__{c}")) for c in on])
+
+    numbered = met(spots.select(*place, "s", "island"), runs.select(*place, "island", "no"), (*place, "island")).select(*place, "s", "no")
+    members = written(met(parts.select(name, *place, "s"), numbered, (*place, "s")).select(name, "no").distinct(), "members")
+    several = members.groupBy(name).agg(F.min("no").alias("b"), F.max("no").alias("__far")).where("b < __far").select(name, "b")
+    root = components(members.join(several, name).where("no > b").select(F.col("no").alias("a"), "b").distinct())
+    classes = runs.join(root.withColumnRenamed("node", "no"), "no", "left").select("no", F.coalesce("root", "no").alias("root"), *place, "island", "e")
+    blocks = classes.groupBy("root", *place).agg(F.sort_array(F.collect_list(F.struct(F.col("island").alias("s"), "e"))).alias("b"))
+    names = members.join(classes.select("no", "root", *place), "no").groupBy("root", *place).agg(F.collect_list(F.col(name).cast("string")).alias("t"))
+    names = names.select("root", *(F.col(c).alias(f"__{c}") for c in place), F.array_join(F.array_distinct(F.sort_array("t")), "|").alias("names"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place]
+    return blocks.join(names.withColumnRenamed("root", "__root"), [F.col("root") == F.col("__root"), *same]).select(
+        *place, F.col("b")[0]["s"].alias("s"), F.array_max(F.transform("b", lambda x: x["e"])).alias("e"), F.transform("b", lambda x: x["s"]).alias("starts"), F.transform("b", lambda x: x["e"]).alias("ends"), "names")

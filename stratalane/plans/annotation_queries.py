@@ -150,4 +150,4 @@ r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l
 k AS (SELECT root, chrom, strand, island, max(e) AS e, list(DISTINCT tx) AS t FROM i JOIN c ON tx = node GROUP BY ALL)
 SELECT chrom, strand, min(island) AS s, max(e) AS e, list(island ORDER BY island) AS starts, list(e ORDER BY island) AS ends, array_to_string(list_sort(list_distinct(flatten(list(t)))), '|') AS names FROM k GROUP BY root, chrom, strand""")
 def transcripts_collapsed(spark, sf_dir):
-    return annotation.collapsed(annotation.transcripts(_exons(spark, sf_dir)))
+    return annotation.collapsed_exons(_exons(spark, sf_dir))
